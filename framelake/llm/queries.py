@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, quality, sharding, simhash, token_counts, token_files
+from . import decontam, mixing, pii, quality, secrets, sharding, simhash, token_counts, token_files
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -34,6 +34,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).drop("score")
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.with_surrogates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return token_files.read_documents(files)
@@ -43,5 +51,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_decontaminate, op5_shards, op6_quality, op9_token_files, op10_mix)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_decontaminate, op5_shards, op6_quality, op7_secrets, op8_surrogates, op9_token_files, op10_mix)}
 ORACLE = {"op5_shards": sharding.oracle()}
