@@ -1,4 +1,6 @@
 """Registered queries over the driver's tables, each with the SQL that states it where SQL can."""
 
-QUERIES = {}
-ORACLE = {}
+from . import factor, kernel, pixel
+
+QUERIES = {**pixel.QUERIES, **factor.QUERIES, **kernel.QUERIES}
+ORACLE = {**pixel.ORACLE, **factor.ORACLE}
