@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, texts_of
-from .wordbpe import PRE_TOKEN, CompactTable, WordCache, loaded
+from .wordbpe import PRE_TOKEN, CompactTable, length_caches, loaded
 
 TABLE_SIZE = 32_768
 SAMPLE_DOCS = 1_000
@@ -54,14 +54,13 @@ def token_counts(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
     def count(batches):
         bpe, frequent = loaded(path), CompactTable(*shared.value)
 
-        def length(word: str) -> int:
-            total = 0
-            for piece in PRE_TOKEN.findall(word):
-                known = frequent.get(CompactTable.key(piece))
-                total += len(bpe.ids(piece)) if known is None else known
-            return total
+        def piece_length(piece: str) -> int:
+            known = frequent.get(CompactTable.key(piece))
+            return len(bpe.ids(piece)) if known is None else known
 
-        lengths = WordCache(length, cache_words)
+        lengths, pieces = length_caches(path, cache_words)
+        pieces.fill = piece_length
+        lengths.fill = lambda word: sum(map(pieces.__getitem__, PRE_TOKEN.findall(word)))
         for batch in batches:
             texts = texts_of(batch, text_col)
             n = [sum(map(lengths.__getitem__, bpe.words(t))) if bpe.simple(t) else len(bpe.ids(t)) for t in texts]

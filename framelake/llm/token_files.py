@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of, written
-from .wordbpe import PRE_TOKEN, WordCache, loaded
+from .wordbpe import id_cache, loaded
 
 MAGIC, VERSION, BLOCK = b"PFOR", 1, 128
 PERCENTILE = 90
 FILE_TOKENS = 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -137,12 +137,9 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "do
         wide = "<u2" if max(bpe.library.get_vocab_size(), end_id) < 65_536 else "<u4"
         end = np.array([end_id], wide).tobytes()
 
-        def word_ids(word: str) -> bytes:
-            return np.array([i for p in PRE_TOKEN.findall(word) for i in bpe.ids(p)], wide).tobytes()
-
-        cache = WordCache(word_ids, cache_words)
+        cache = id_cache(path, wide, cache_words)
         for batch in batches:
-            out = [(b"".join(map(cache.__getitem__, bpe.words(t))) if bpe.simple(t) else np.array(bpe.ids(t), wide).tobytes()) + end for t in texts_of(batch, "text")]
+            out = [x + end for x in cache.encode(texts_of(batch, "text"))]
             bucket = [0 if d is None else bisect.bisect_left(bounds, d) for d in batch.column("doc_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bucket, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "bucket", "ids"])
 

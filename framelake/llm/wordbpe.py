@@ -54,16 +54,20 @@ def loaded(path: str) -> WordBpe:
 
 
 class WordCache(dict):
-    """word -> value, filled by a function on a miss and emptied when it holds too many words."""
+    """key -> value, filled by a function on a miss; of two generations, so that frequent keys outlive a full one."""
 
     def __init__(self, fill, limit: int):
         super().__init__()
-        self.fill, self.limit = fill, limit
+        self.fill, self.limit, self.older = fill, limit, {}
 
-    def __missing__(self, word):
+    def __missing__(self, key):
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[word] = self.fill(word)
+        value = self.older.get(key)
+        if value is None:
+            value = self.fill(key)
+        self[key] = value
         return value
 
 
@@ -99,3 +103,59 @@ class CompactTable:
                 return int(self.values[at])
             at = (at + 1) & mask
         return None
+
+
+class IdCache:
+    """word -> the bytes of its ids. New pre-tokens of a batch are encoded in one call, as one text.
+
+    Only the last token of a pre-token carries the vocabulary's end-of-word mark, which tells them apart.
+    """
+
+    def __init__(self, bpe: WordBpe, wide: str, limit: int):
+        self.bpe, self.wide, self.limit, self.words = bpe, wide, limit, {}
+        self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocab = bpe.library.get_vocab()
+        mark = bpe.library.model.end_of_word_suffix
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
+
+    def learn(self, words: set[str]) -> None:
+        """Make all these words known."""
+        if len(self.words) > self.limit:
+            self.words.clear()
+        if len(self.pieces) > self.limit:
+            self.pieces, self.older = {}, self.pieces
+        new = {w: PRE_TOKEN.findall(w) for w in words if w not in self.words}
+        wanted = {p for parts in new.values() for p in parts if p not in self.pieces}
+        self.pieces.update((p, self.older[p]) for p in wanted if p in self.older)
+        ask = [p for p in wanted if p not in self.pieces]
+        ids = np.array(self.bpe.ids(" ".join(ask)), self.wide)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(ask):
+            data, size, start = ids.tobytes(), ids.itemsize, 0
+            for p, end in zip(ask, (ends * size).tolist(), strict=True):
+                self.pieces[p], start = data[start:end], end
+        else:  # a vocabulary without the mark
+            self.pieces.update((p, np.array(self.bpe.ids(p), self.wide).tobytes()) for p in ask)
+        get = self.pieces.__getitem__
+        self.words.update((w, b"".join(map(get, parts))) for w, parts in new.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        split = [self.bpe.words(t) if self.bpe.simple(t) else None for t in texts]
+        self.learn(set().union(*[s for s in split if s]))
+        get = self.words.__getitem__
+        return [b"".join(map(get, s)) if s is not None else np.array(self.bpe.ids(t), self.wide).tobytes() for s, t in zip(split, texts, strict=True)]
+
+
+@functools.lru_cache(2)
+def id_cache(path: str, wide: str, limit: int) -> IdCache:
+    """One cache for all tasks that a worker runs: what a vocabulary makes of a word never changes."""
+    return IdCache(loaded(path), wide, limit)
+
+
+@functools.lru_cache(2)
+def length_caches(path: str, limit: int) -> tuple[WordCache, WordCache]:
+    """Caches of word and pre-token lengths for all tasks that a worker runs; the caller sets how they are filled."""
+    return WordCache(None, limit), WordCache(None, limit)
