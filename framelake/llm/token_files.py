@@ -32,7 +32,7 @@ from .wordbpe import id_cache, loaded
 MAGIC, VERSION, BLOCK = b"PFOR", 1, 128
 PERCENTILE = 90
 FILE_TOKENS = 1 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 900_000
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
