@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, secrets, sharding, simhash, token_counts, token_files
+from . import decontam, mixing, pii, quality, secrets, sharding, simhash, suffix_dedup, token_counts, token_files
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -13,6 +13,10 @@ TOKEN_LIMIT = 2048
 END_ID = 2
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_decontaminate, op5_shards, op6_quality, op7_secrets, op8_surrogates, op9_token_files, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_token_counts, op4_decontaminate, op5_shards, op6_quality, op7_secrets, op8_surrogates, op9_token_files, op10_mix)}
 ORACLE = {"op5_shards": sharding.oracle()}
