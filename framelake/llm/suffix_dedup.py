@@ -183,6 +183,8 @@ def _to_stretches(batches):
     for batch in batches:
         for (chunk, doc_ids, lens, data), masks in zip(_chunk_rows(batch), batch.column("masks").to_pylist(), strict=True):
             ends = np.cumsum(lens)
+            if masks is None:
+                continue
             start, n, value = stretches(data, ends)
             shared = np.sort(np.frombuffer(b"".join(masks), np.uint64))
             hit = shared[np.minimum(np.searchsorted(shared, value), len(shared) - 1)] == value
@@ -335,7 +337,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bare = chunks.drop("size")
     packed = bare.mapInArrow(_hashes(buckets), "bucket long, chunk long, packed binary")
     masks = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("masks"))
-    found = bare.join(masks, "chunk").mapInArrow(_to_stretches, "value long, chunk long, at long, doc_id long, bytes binary")
+    found = bare.join(masks, "chunk", "left").mapInArrow(_to_stretches, "value long, chunk long, at long, doc_id long, bytes binary")
     ranges = found.repartition("value").sortWithinPartitions("value").mapInArrow(_solved(shard_bytes), "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("ranges"))
+    # both joins are left joins of the same columns, so that the chunks are shuffled once
     extra = ", kept binary" if with_text else ""
     return bare.join(ranges, "chunk", "left").mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
