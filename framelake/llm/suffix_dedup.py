@@ -92,7 +92,7 @@ def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _chunk_rows(batch: pa.RecordBatch):
     for chunk, doc_ids, lens, data in zip(*(batch.column(c) for c in ("chunk", "doc_ids", "lens", "data")), strict=True):
-        yield chunk.as_py(), doc_ids.values.to_numpy(zero_copy_only=False), lens.values.to_numpy(zero_copy_only=False), np.frombuffer(data.as_buffer(), np.uint8)
+        yield chunk.as_py(), doc_ids.values.to_numpy(zero_copy_only=False), lens.values.to_numpy(zero_copy_only=False), np.frombuffer(pa.decompress(data.as_buffer(), decompressed_size=sum(lens.as_py()), codec="zstd"), np.uint8)
 
 
 def _to_chunks(batches):
@@ -108,7 +108,7 @@ def _to_chunks(batches):
             "chunk": pa.array([task << 33 | n], pa.int64()), "size": pa.array([data.size], pa.int64()),
             "doc_ids": pa.array([batch.column("doc_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
             "null_id": pa.array([batch.column("null_id").to_numpy(zero_copy_only=False)], pa.list_(pa.bool_())),
-            "lens": pa.array([np.diff(offsets)], pa.list_(pa.int64())), "data": pa.array([data.to_pybytes()], pa.binary()),
+            "lens": pa.array([np.diff(offsets)], pa.list_(pa.int64())), "data": pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary()),
         })
         n += 1
 
