@@ -4,8 +4,8 @@ A text is cut into stretches of neighbouring 50-byte windows whose least 19-byte
 windows have an equal least hash, so all stretches of one least hash, sorted as one shard, show every match.
 
 1. Documents are written once as chunks (one Arrow batch each, a few MB; a longer text is one chunk).
-2. Each chunk sends its distinct least hashes, 8 bytes each in one packed row a bucket; buckets return those
-   that two documents may hold. A hash that all documents hold comes once from a chunk, never once a row.
+2. Each chunk sends its distinct least hashes, 6 bytes each in one packed row a bucket; buckets return those
+   that two documents may hold (two hashes that agree in 47 bits only cost time). A hash that all documents hold comes once from a chunk, never once a row.
 3. Chunks send the stretches of these hashes, an equal stretch once for its smallest document (later ones
    are removed where they lie). Spark sorts them by hash, spilling as it must, and a task cuts its rows into
    shards of bounded size. Stretches equal throughout are joined; what remains is suffix-sorted
@@ -58,7 +58,18 @@ def _least(data: np.ndarray) -> np.ndarray:
         h = np.minimum(h[:-e], h[e:])
     h *= np.uint64(0x94D049BB133111EB)  # least values are small; this spreads them again
     h ^= h >> np.uint64(31)
-    return h & np.uint64(LAST - 1)
+    return h & np.uint64((1 << 48) - 2)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """48-bit numbers as 6 bytes each."""
+    return np.ascontiguousarray(values.astype("<u8")[:, None].view(np.uint8)[:, :6]).tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,10 +138,10 @@ def _hashes(buckets: int):
                     continue
                 several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
                 value = value[first]
-                bucket = (value >> np.uint64(31)) * np.uint64(buckets) >> np.uint64(32)
+                bucket = (value >> np.uint64(16)) * np.uint64(buckets) >> np.uint64(32)
                 packed = value | several
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(value)]))
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]].astype(np.int64)), "chunk": pa.array([chunk] * (len(cuts) - 1), pa.int64()), "packed": pa.array([packed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[cuts[:-1]].astype(np.int64)), "chunk": pa.array([chunk] * (len(cuts) - 1), pa.int64()), "packed": pa.array([_pack(packed[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
     return hashes
 
@@ -140,7 +151,7 @@ def _shared(batches):
 
     def found(bucket_rows):
         one = np.uint64(1)
-        packed = [np.frombuffer(x, np.uint64) for _, x in bucket_rows]
+        packed = [_unpack(x) for _, x in bucket_rows]
         every = np.concatenate(packed)
         every.sort()
         value = every & ~one
@@ -152,7 +163,7 @@ def _shared(batches):
             hit = v[twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v] if len(twice) else v[:0]
             if len(hit):
                 chunks.append(chunk)
-                out.append(hit.tobytes())
+                out.append(_pack(hit))
         return pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(out, pa.binary())})
 
     now, held = None, []
@@ -186,7 +197,7 @@ def _to_stretches(batches):
             if masks is None:
                 continue
             start, n, value = stretches(data, ends)
-            shared = np.sort(np.frombuffer(b"".join(masks), np.uint64))
+            shared = np.sort(_unpack(b"".join(masks)))
             hit = shared[np.minimum(np.searchsorted(shared, value), len(shared) - 1)] == value
             start, n, value = start[hit], n[hit], value[hit]
             doc = doc_ids[np.searchsorted(ends, start, side="right")]
@@ -333,7 +344,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(key, F.lit(LAST)).alias("doc_id"), key.isNull().alias("null_id"), F.col(text_col).alias("text"))
     chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, doc_ids array<long>, null_id array<boolean>, lens array<long>, data binary"), "chunks")
     total = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 8 // 16 // BUCKET_BYTES)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // 16 // BUCKET_BYTES)
     bare = chunks.drop("size")
     packed = bare.mapInArrow(_hashes(buckets), "bucket long, chunk long, packed binary")
     masks = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("masks"))
