@@ -3,7 +3,9 @@
 A text is cut into stretches of neighbouring 50-byte windows whose least 19-byte hash is the same. Equal
 windows have an equal least hash, so all stretches of one least hash, sorted as one shard, show every match.
 
-1. Documents are written once as chunks (one Arrow batch each, a few MB; a longer text is one chunk).
+1. Documents are written once as chunks (one Arrow batch each, a few MB; a longer text is one chunk). Each
+   chunk sends the 128-bit digests of its texts, packed, and learns which texts are copies of a smaller
+   document's: those go as a whole and take no part in what follows.
 2. Each chunk sends its distinct least hashes, 6 bytes each in one packed row a bucket; buckets return those
    that two documents may hold (two hashes that agree in 47 bits only cost time). A hash that all documents hold comes once from a chunk, never once a row.
 3. Chunks send the stretches of these hashes, an equal stretch once for its smallest document (later ones
@@ -72,11 +74,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def stretches(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, windows and least hash of each stretch of texts that lie end to end in data."""
+def stretches(data: np.ndarray, ends: np.ndarray, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First window, windows and least hash of each stretch of texts, but those to skip, that lie end to end in data."""
     valid = np.ones(len(data), bool)
-    for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-        valid[max(a, b - LENGTH + 1) : b] = False
+    for a, b, whole in zip([0, *ends[:-1].tolist()], ends.tolist(), skip.tolist(), strict=True):
+        valid[a if whole else max(a, b - LENGTH + 1) : b] = False
     starts, sizes, values = [], [], []
     for at in range(0, len(data) - LENGTH + 1, BLOCK):
         h = _least(data[at : at + BLOCK + LENGTH - 1])
@@ -119,17 +121,58 @@ def _to_chunks(batches):
             "chunk": pa.array([task << 33 | n], pa.int64()), "size": pa.array([data.size], pa.int64()),
             "doc_ids": pa.array([batch.column("doc_id").to_numpy(zero_copy_only=False)], pa.list_(pa.int64())),
             "null_id": pa.array([batch.column("null_id").to_numpy(zero_copy_only=False)], pa.list_(pa.bool_())),
-            "lens": pa.array([np.diff(offsets)], pa.list_(pa.int64())), "data": pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary()),
+            "lens": pa.array([np.diff(offsets)], pa.list_(pa.int64())), "digests": pa.array([b"".join(hashlib.blake2b(x.as_buffer() or b"", digest_size=16).digest() for x in text)], pa.binary()), "data": pa.array([pa.compress(data, codec="zstd", asbytes=True)], pa.binary()),
         })
         n += 1
 
 
+COPY = np.dtype([("digest", "V16"), ("doc_id", "<i8")])
+
+
+def _digests(buckets: int):
+    def digests(batches):
+        for batch in batches:
+            for chunk, doc_ids, packed in zip(batch.column("chunk").to_pylist(), batch.column("doc_ids"), batch.column("digests").to_pylist(), strict=True):
+                least, out = {}, {}
+                for i, d in enumerate(doc_ids.values.to_pylist()):
+                    x = packed[16 * i : 16 * i + 16]
+                    least[x] = min(d, least.get(x, d))
+                for x, d in least.items():
+                    out.setdefault(int.from_bytes(x[:4], "little") * buckets >> 32, []).append(x + d.to_bytes(8, "little", signed=True))
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array(list(out), pa.int64()), "chunk": pa.array([chunk] * len(out), pa.int64()), "packed": pa.array([b"".join(x) for x in out.values()], pa.binary())})
+
+    return digests
+
+
+def _copied(bucket_rows):
+    """For each chunk the digests that a document smaller than all of the chunk's has."""
+    least: dict[bytes, int] = {}
+    rows = [(chunk, [(x[i : i + 16], int.from_bytes(x[i + 16 : i + 24], "little", signed=True)) for i in range(0, len(x), 24)]) for chunk, x in bucket_rows]
+    for _, own in rows:
+        for x, d in own:
+            least[x] = min(d, least.get(x, d))
+    out = [(chunk, b"".join(x + least[x].to_bytes(8, "little", signed=True) for x, d in own if least[x] < d)) for chunk, own in rows]
+    out = [x for x in out if x[1]]
+    return pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in out], pa.int64()), "packed": pa.array([p for _, p in out], pa.binary())})
+
+
+def _copies(doc_ids: np.ndarray, digests: bytes, others: list[bytes] | None) -> np.ndarray:
+    """Whether each text of a chunk is a smaller document's, of this chunk or of another."""
+    x = np.frombuffer(digests, "V16").tolist()
+    least: dict[bytes, int] = {}
+    for d, i in zip(doc_ids.tolist(), x, strict=True):
+        least[i] = min(d, least.get(i, d))
+    for i, d in np.frombuffer(b"".join(others or []), COPY).tolist():
+        least[i] = min(d, least[i])
+    return np.array([least[i] < d for d, i in zip(doc_ids.tolist(), x, strict=True)], bool)
+
+
 def _hashes(buckets: int):
     def hashes(batches):
         for batch in batches:
-            for chunk, doc_ids, lens, data in _chunk_rows(batch):
+            for (chunk, doc_ids, lens, data), digests, others in zip(_chunk_rows(batch), batch.column("digests").to_pylist(), batch.column("copies").to_pylist(), strict=True):
                 ends = np.cumsum(lens)
-                start, _, value = stretches(data, ends)
+                start, _, value = stretches(data, ends, _copies(doc_ids, digests, others))
                 doc = doc_ids[np.searchsorted(ends, start, side="right")]
                 order = np.argsort(value, kind="stable")
                 value, doc = value[order], doc[order]
@@ -146,36 +189,40 @@ def _hashes(buckets: int):
     return hashes
 
 
-def _shared(batches):
-    """For rows in order of their buckets: what of each row another row of its bucket has, or several documents."""
-
-    def found(bucket_rows):
-        one = np.uint64(1)
-        packed = [_unpack(x) for _, x in bucket_rows]
-        every = np.concatenate(packed)
-        every.sort()
-        value = every & ~one
-        twice = np.concatenate((value[1:][value[1:] == value[:-1]], value[(every & one) == one]))
-        twice = np.unique(twice)
-        chunks, out = [], []
-        for (chunk, _), p in zip(bucket_rows, packed, strict=True):
-            v = p & ~one
-            hit = v[twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v] if len(twice) else v[:0]
-            if len(hit):
-                chunks.append(chunk)
-                out.append(_pack(hit))
-        return pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(out, pa.binary())})
-
-    now, held = None, []
-    for batch in batches:
-        for bucket, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "packed")), strict=True):
-            if bucket != now and held:
-                yield found(held)
-                held = []
-            now = bucket
-            held.append((chunk, packed))
-    if held:
-        yield found(held)
+def _shared(bucket_rows):
+    """What of each row another row of the bucket has, or several documents."""
+    one = np.uint64(1)
+    packed = [_unpack(x) for _, x in bucket_rows]
+    every = np.concatenate(packed)
+    every.sort()
+    value = every & ~one
+    twice = np.unique(np.concatenate((value[1:][value[1:] == value[:-1]], value[(every & one) == one])))
+    chunks, out = [], []
+    for (chunk, _), p in zip(bucket_rows, packed, strict=True):
+        v = p & ~one
+        hit = v[twice[np.minimum(np.searchsorted(twice, v), len(twice) - 1)] == v] if len(twice) else v[:0]
+        if len(hit):
+            chunks.append(chunk)
+            out.append(_pack(hit))
+    return pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "packed": pa.array(out, pa.binary())})
+
+
+def _by_bucket(solve):
+    """solve(rows of chunk and packed bytes) for each bucket of rows in order of their buckets."""
+
+    def walk(batches):
+        now, held = None, []
+        for batch in batches:
+            for bucket, chunk, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "chunk", "packed")), strict=True):
+                if bucket != now and held:
+                    yield solve(held)
+                    held = []
+                now = bucket
+                held.append((chunk, packed))
+        if held:
+            yield solve(held)
+
+    return walk
 
 
 STRETCH = pa.schema([("value", pa.int64()), ("chunk", pa.int64()), ("at", pa.int64()), ("doc_id", pa.int64()), ("bytes", pa.binary())])
@@ -189,14 +236,23 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack((start[new], end[np.concatenate((new[1:], [len(start)])) - 1]), axis=1)
 
 
+def _range_row(chunk: int, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    packed = _ranges(start, end).tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([chunk]), pa.array([0]), pa.array([None], pa.int64()), pa.array([packed], pa.binary())], schema=STRETCH)
+
+
 def _to_stretches(batches):
     """Stretches to be sorted; and, as rows without a doc_id, packed ranges that go for an equal stretch before."""
     for batch in batches:
-        for (chunk, doc_ids, lens, data), masks in zip(_chunk_rows(batch), batch.column("masks").to_pylist(), strict=True):
+        for (chunk, doc_ids, lens, data), digests, others, masks in zip(_chunk_rows(batch), *(batch.column(c).to_pylist() for c in ("digests", "copies", "masks")), strict=True):
             ends = np.cumsum(lens)
+            copy = _copies(doc_ids, digests, others)
+            whole = copy & (lens >= LENGTH)
+            if whole.any():
+                yield _range_row(chunk, ends[whole] - lens[whole], ends[whole])
             if masks is None:
                 continue
-            start, n, value = stretches(data, ends)
+            start, n, value = stretches(data, ends, copy)
             shared = np.sort(_unpack(b"".join(masks)))
             hit = shared[np.minimum(np.searchsorted(shared, value), len(shared) - 1)] == value
             start, n, value = start[hit], n[hit], value[hit]
@@ -211,8 +267,7 @@ def _to_stretches(batches):
                 own = [raw[x : x + size + LENGTH - 1] for x, size in zip(start[k].tolist(), n[k].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(value[k].astype(np.int64)), pa.array(np.full(len(k), chunk)), pa.array(start[k]), pa.array(doc[k]), pa.array(own, pa.binary())], schema=STRETCH)
             if len(gone):
-                packed = _ranges(start[gone], start[gone] + n[gone] + LENGTH - 1).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([chunk]), pa.array([0]), pa.array([None], pa.int64()), pa.array([packed], pa.binary())], schema=STRETCH)
+                yield _range_row(chunk, start[gone], start[gone] + n[gone] + LENGTH - 1)
 
 
 def _sort_shard(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,14 +397,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded_batches(spark)
     key = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(key, F.lit(LAST)).alias("doc_id"), key.isNull().alias("null_id"), F.col(text_col).alias("text"))
-    chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, doc_ids array<long>, null_id array<boolean>, lens array<long>, data binary"), "chunks")
+    chunks = written(rows.mapInArrow(_to_chunks, "chunk long, size long, doc_ids array<long>, null_id array<boolean>, lens array<long>, digests binary, data binary"), "chunks")
     total = chunks.agg(F.sum("size").alias("n")).first()["n"] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // 16 // BUCKET_BYTES)
     bare = chunks.drop("size")
-    packed = bare.mapInArrow(_hashes(buckets), "bucket long, chunk long, packed binary")
-    masks = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("masks"))
-    found = bare.join(masks, "chunk", "left").mapInArrow(_to_stretches, "value long, chunk long, at long, doc_id long, bytes binary")
+
+    def answers(asked, solve, name):
+        """What the buckets return, gathered by chunk."""
+        told = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_bucket(solve), "chunk long, packed binary")
+        return told.groupBy("chunk").agg(F.collect_list("packed").alias(name))
+
+    asked = "bucket long, chunk long, packed binary"
+    known = bare.join(answers(chunks.select("chunk", "doc_ids", "digests").mapInArrow(_digests(buckets), asked), _copied, "copies"), "chunk", "left")
+    masks = answers(known.mapInArrow(_hashes(buckets), asked), _shared, "masks")
+    found = known.join(masks, "chunk", "left").mapInArrow(_to_stretches, "value long, chunk long, at long, doc_id long, bytes binary")
     ranges = found.repartition("value").sortWithinPartitions("value").mapInArrow(_solved(shard_bytes), "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("ranges"))
-    # both joins are left joins of the same columns, so that the chunks are shuffled once
+    # all joins are left joins of the same columns, so that the chunks are shuffled once
     extra = ", kept binary" if with_text else ""
     return bare.join(ranges, "chunk", "left").mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
