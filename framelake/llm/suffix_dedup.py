@@ -12,7 +12,7 @@ windows have an equal least hash, so all stretches of one least hash, sorted as
    are removed where they lie). Spark sorts them by hash, spilling as it must, and a task cuts its rows into
    shards of bounded size. Stretches equal throughout are joined; what remains is suffix-sorted
    (suffix_sort.py), neighbours are compared, and windows of a class go if a smaller document has one.
-   A single hash is one shard, however large: its queues then lie on disk.
+   A single hash is one shard, however large: the sort's queues then lie on disk, its texts in memory.
 4. Covered ranges return to their chunk, packed, where the bytes are taken out.
 
 Only stage 3 makes text larger than itself, and only where it is shared.
