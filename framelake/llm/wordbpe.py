@@ -8,6 +8,7 @@ outside a checked range, or with one of the vocabulary's special strings, go who
 from __future__ import annotations
 
 import functools
+import os
 import re
 import unicodedata
 
@@ -15,6 +16,9 @@ import numpy as np
 import xxhash
 from tokenizers import Tokenizer
 
+#: Tasks are the parallelism: the library's own threads would only contend with them.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Up to here, each character's class and lower case agree between Python and the library (see the tests).
 LAST_SIMPLE = 0x17F
 _CHARS = [chr(c) for c in range(LAST_SIMPLE + 1)]
@@ -44,7 +48,7 @@ class WordBpe:
         return text.lower().split()
 
     def ids(self, text: str) -> list[int]:
-        return self.library.encode(text, add_special_tokens=False).ids
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids  # no offsets are worked out
 
 
 @functools.lru_cache(2)
