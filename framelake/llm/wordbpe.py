@@ -110,46 +110,53 @@ class CompactTable:
 
 
 class IdCache:
-    """word -> the bytes of its ids. New pre-tokens of a batch are encoded in one call, as one text.
+    """word or pre-token -> the bytes of its ids. What a batch brings anew is encoded in one call, as one text.
 
-    Only the last token of a pre-token carries the vocabulary's end-of-word mark, which tells them apart.
+    A pre-token by itself is a word of one pre-token, so one table serves both; a word of letters only is
+    never split. Of two generations, so that frequent words outlive a full table. Only the last token of a
+    pre-token carries the vocabulary's end-of-word mark, which tells them apart.
     """
 
     def __init__(self, bpe: WordBpe, wide: str, limit: int):
-        self.bpe, self.wide, self.limit, self.words = bpe, wide, limit, {}
-        self.pieces: dict[str, bytes] = {}
+        self.bpe, self.wide, self.limit = bpe, wide, limit
+        self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocab = bpe.library.get_vocab()
         mark = bpe.library.model.end_of_word_suffix
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if mark and t.endswith(mark)]] = True
 
+    def _missing(self, words: set[str]) -> set[str]:
+        """Those words that neither generation has; what the older one has is taken over."""
+        new = words.difference(self.known)
+        if self.older:
+            self.known.update((w, self.older[w]) for w in new if w in self.older)
+            new = new.difference(self.known)
+        return new
+
     def learn(self, words: set[str]) -> None:
         """Make all these words known."""
-        if len(self.words) > self.limit:
-            self.words.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces, self.older = {}, self.pieces
-        new = {w: PRE_TOKEN.findall(w) for w in words if w not in self.words}
-        wanted = {p for parts in new.values() for p in parts if p not in self.pieces}
-        self.pieces.update((p, self.older[p]) for p in wanted if p in self.older)
-        ask = [p for p in wanted if p not in self.pieces]
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        new = self._missing(words)
+        split = {w: PRE_TOKEN.findall(w) for w in new if not w.isalpha()}
+        ask = list(self._missing(new.difference(split).union(*split.values())))
         ids = np.array(self.bpe.ids(" ".join(ask)), self.wide)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) == len(ask):
             data, size, start = ids.tobytes(), ids.itemsize, 0
             for p, end in zip(ask, (ends * size).tolist(), strict=True):
-                self.pieces[p], start = data[start:end], end
+                self.known[p], start = data[start:end], end
         else:  # a vocabulary without the mark
-            self.pieces.update((p, np.array(self.bpe.ids(p), self.wide).tobytes()) for p in ask)
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in new.items())
+            self.known.update((p, np.array(self.bpe.ids(p), self.wide).tobytes()) for p in ask)
+        get = self.known.__getitem__
+        self.known.update((w, b"".join(map(get, parts))) for w, parts in split.items() if len(parts) > 1)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         split = [self.bpe.words(t) if self.bpe.simple(t) else None for t in texts]
         self.learn(set().union(*[s for s in split if s]))
-        get = self.words.__getitem__
+        get = self.known.__getitem__
         return [b"".join(map(get, s)) if s is not None else np.array(self.bpe.ids(t), self.wide).tobytes() for s, t in zip(split, texts, strict=True)]
 
 
