@@ -59,7 +59,9 @@ def encode_file(ids: np.ndarray, starts: np.ndarray, percentile: float = PERCENT
     for w in np.unique(width):
         own = np.flatnonzero(width == w)
         if w:
-            bits = ((delta[own][:, :, None] >> np.arange(w, dtype=np.uint32)) & 1).astype(np.uint8)
+            cell = "<u2" if w <= 16 else "<u4"
+            raw = delta[own].astype(cell).view(np.uint8).reshape(len(own), block, -1)
+            bits = np.unpackbits(raw, axis=2, count=int(w), bitorder="little")
             packed = np.packbits(bits.reshape(len(own), -1), axis=1, bitorder="little")
             body[at[own].astype(np.int64)[:, None] + 6 + np.arange(packed.shape[1])] = packed
     head = np.zeros((blocks, 6), np.uint8)
