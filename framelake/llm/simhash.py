@@ -195,5 +195,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     marked = written(fingerprints(docs.select("doc_id", "text")), "marked")
     named = marked.join(fingerprint_components(marked), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
     kept = docs.join(named, docs["doc_id"].eqNullSafe(named["id"]), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    # the null-safe join's own keys, so that the texts are shuffled once for both
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id")).orderBy(F.xxhash64("text"))
     return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
