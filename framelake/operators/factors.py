@@ -149,10 +149,17 @@ def posterior_mix(predicted: DataFrame, noise: DataFrame) -> DataFrame:
     return predicted.join(noise, "comp").select("comp", "frame", (w * F.col("mu") + (1 - w) * F.col("x")).alias("value"))
 
 
-def snippets(traces: DataFrame, n_frames: int, window: int, stride: int) -> DataFrame:
-    """comp, start, snippet of a table comp, trace (array); the last window is anchored to the end."""
-    starts = sorted({*range(0, max(1, n_frames - window + 1), stride), max(0, n_frames - window)})
-    return traces.withColumn("start", F.explode(F.array(*map(F.lit, starts)))).select("comp", "start", F.expr(f"slice(trace, start + 1, {window})").alias("snippet"))
+def snippets(traces: DataFrame, n_frames: int | None, window: int, stride: int) -> DataFrame:
+    """comp, start, snippet of a table comp, trace (array); the last window is anchored to the end.
+
+    n_frames None: windows over the whole of each trace.
+    """
+    if n_frames is None:
+        last = F.greatest(F.size("trace") - window, F.lit(0))
+        starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
+    else:
+        starts = F.array(*map(F.lit, sorted({*range(0, max(1, n_frames - window + 1), stride), max(0, n_frames - window)})))
+    return traces.withColumn("start", F.explode(starts)).select("comp", "start", F.expr(f"slice(trace, start + 1, {window})").alias("snippet"))
 
 
 def overlap_average(windows: DataFrame) -> DataFrame:

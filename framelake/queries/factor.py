@@ -230,9 +230,9 @@ def posterior_mix(spark, d):
     return _six(factors.posterior_mix(g, noise), "value")
 
 
-def _trace_arrays(x):
+def _trace_arrays(c):
     sorted_ = F.array_sort(F.collect_list(F.struct("frame", "value")))
-    return x.c.where("frame < 100").groupBy("comp").agg(F.transform(sorted_, lambda s: s["value"]).alias("trace"))
+    return c.groupBy("comp").agg(F.transform(sorted_, lambda s: s["value"]).alias("trace"))
 
 
 _STARTS = "st AS (SELECT unnest([0, 20, 40, 60]) AS start)"
@@ -240,13 +240,28 @@ _STARTS = "st AS (SELECT unnest([0, 20, 40, 60]) AS start)"
 
 @query(with_(f"{MAC}, {_STARTS}", f"SELECT comp, start, CAST(frame - start AS INTEGER) AS i, {r('value', 'value')} FROM c JOIN st ON frame >= start AND frame < start + 40"))
 def window_snippets(spark, d):
-    s = factors.snippets(_trace_arrays(_Tables(spark, d)), 100, 40, 20)
+    s = factors.snippets(_trace_arrays(_Tables(spark, d).c.where("frame < 100")), 100, 40, 20)
     return s.select("comp", "start", F.posexplode("snippet").alias("i", "value")).withColumn("value", rounded(F.col("value")))
 
 
 @query(with_(f"{MAC}, {_STARTS}", f"SELECT comp, CAST(frame AS INTEGER) AS frame, {r('avg(value)', 'value')} FROM c JOIN st ON frame >= start AND frame < start + 40 GROUP BY 1, 2"))
 def overlap_average(spark, d):
-    return _six(factors.overlap_average(factors.snippets(_trace_arrays(_Tables(spark, d)), 100, 40, 20)), "value")
+    return _six(factors.overlap_average(factors.snippets(_trace_arrays(_Tables(spark, d).c.where("frame < 100")), 100, 40, 20)), "value")
+
+
+#: Starts over the whole movie, the last window anchored to its end.
+_ALL_STARTS = "n AS (SELECT greatest(max(frame) + 1 - 40, 0) AS last FROM c), st AS (SELECT CAST(unnest(list_distinct(list_append(range(0, last + 1, 20), last))) AS INTEGER) AS start FROM n)"
+
+
+@query(with_(f"{MAC}, {_ALL_STARTS}", f"SELECT comp, start, CAST(frame - start AS INTEGER) AS i, {r('value', 'value')} FROM c JOIN st ON frame >= start AND frame < start + 40"))
+def window_snippets_movie(spark, d):
+    s = factors.snippets(_trace_arrays(_Tables(spark, d).c), None, 40, 20)
+    return s.select("comp", "start", F.posexplode("snippet").alias("i", "value")).withColumn("value", rounded(F.col("value")))
+
+
+@query(with_(f"{MAC}, {_ALL_STARTS}", f"SELECT comp, CAST(frame AS INTEGER) AS frame, {r('avg(value)', 'value')} FROM c JOIN st ON frame >= start AND frame < start + 40 GROUP BY 1, 2"))
+def overlap_average_movie(spark, d):
+    return _six(factors.overlap_average(factors.snippets(_trace_arrays(_Tables(spark, d).c), None, 40, 20)), "value")
 
 
 @query(with_(f"{ALL}, {UV}", f"SELECT {r('quantile_cont(s, 0.1)', 'noise')} FROM (SELECT pixel, stddev_samp(value) AS s FROM uv GROUP BY 1) q"))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from framelake.kernels import images, lowrank
-from framelake.operators import pixel
+from framelake.operators import factors, pixel
 from framelake.operators.graph import greedy_colours
 from framelake.plans import movies
 
@@ -101,3 +101,11 @@ def test_rigid_registration_plan(spark):
     frames = spark.createDataFrame([(i, 16, 16, images.shift_frame(t, dy, 0.0).ravel().tolist()) for i, dy in enumerate((0.0, 1.0, -2.0))], movies.FRAME)
     got = {r["frame"]: r["dy"] for r in movies.register_rigid(frames, t, (3, 3)).collect()}
     assert all(abs(got[i] + dy) < 0.01 for i, dy in enumerate((0.0, 1.0, -2.0)))
+
+
+def test_windows_reach_the_end(spark):
+    """Over whole traces, the last window ends at the last frame, also where the stride does not divide."""
+    for n, want in ((110, [0, 20, 40, 60, 70]), (100, [0, 20, 40, 60]), (30, [0])):
+        traces = spark.createDataFrame([(1, list(range(n)))], "comp int, trace array<int>")
+        got = sorted((r["start"], r["snippet"]) for r in factors.snippets(traces, None, 40, 20).collect())
+        assert got == [(s, list(range(s, min(s + 40, n)))) for s in want]
