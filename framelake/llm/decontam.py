@@ -65,8 +65,8 @@ def _maybe_broadcast(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """doc_id, item_id, n_windows (that match), start (of the best, in words) and similarity (of the best)."""
+def _matches(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: int = RADIUS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """doc_id, tag (of the text), item_id, start and similarity of each window that matches an item."""
     own = items.select("item_id", word_hashes(F.col("text")).alias("words")).where("size(words) > 0")
     own = written(own.withColumns({"width": F.size("words"), "parts": shingles(F.col("words"))}).withColumn("fp", simhash(F.col("parts"))).drop("words"), "items")
     small = own.agg(F.coalesce(F.sum(F.size("parts")), F.lit(0)).alias("n")).first()["n"] <= most_broadcast
@@ -83,8 +83,8 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: i
         hits = found if hits is None else hits.union(found)
     windows = written(hits.distinct().groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "width")).alias("windows")), "windows").withColumnsRenamed({"doc_id": "id", "tag": "t"})
     placed = tagged.join(windows, F.expr("doc_id <=> id and tag = t")).select("doc_id", "tag", word_hashes(F.col("text")).alias("words"), "windows").dropDuplicates(["doc_id", "tag"])
-    cut = placed.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", "w.start", "w.width", F.expr("slice(words, w.start + 1, w.width)").alias("words"))
-    marked = cut.select("doc_id", "start", "width", shingles(F.col("words")).alias("parts"))
+    cut = placed.select("doc_id", "tag", "words", F.explode("windows").alias("w")).select("doc_id", "tag", "w.start", "w.width", F.expr("slice(words, w.start + 1, w.width)").alias("words"))
+    marked = cut.select("doc_id", "tag", "start", "width", shingles(F.col("words")).alias("parts"))
     marked = written(marked.withColumn("fp", simhash(F.col("parts"))), "marked-windows")
     index = own.select("item_id", F.col("width").alias("w"), F.col("fp").alias("item_fp"), F.explode(blocks(F.col("fp"), radius)).alias("x")).select("item_id", "w", "item_fp", "x.block", "x.bits")
     probe = marked.select("doc_id", "start", "width", "fp", F.explode(blocks(F.col("fp"), radius)).alias("x")).select("doc_id", "start", "width", "fp", "x.block", "x.bits")
@@ -92,12 +92,18 @@ def leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR, radius: i
     near = joined.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("doc_id", "start", "width", "fp", "item_id").distinct().withColumnsRenamed({"doc_id": "id", "start": "s", "width": "wd", "fp": "f"})
     theirs = own.select("item_id", F.col("parts").alias("item_parts"))
     pairs = marked.join(near, F.expr("doc_id <=> id and start = s and width = wd and fp = f")).join(_maybe_broadcast(theirs, small), "item_id")
-    scored = pairs.select("doc_id", "item_id", "start", weighted_jaccard(F.col("parts"), F.col("item_parts")).alias("similarity")).where(F.col("similarity") >= similar)
+    return pairs.select("doc_id", "tag", "item_id", "start", weighted_jaccard(F.col("parts"), F.col("item_parts")).alias("similarity")).where(F.col("similarity") >= similar)
+
+
+def leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """doc_id, item_id, n_windows (that match), start (of the best, in words) and similarity (of the best)."""
+    scored = _matches(docs, items, **how)
     best = F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("start")))
     return scored.groupBy("doc_id", "item_id").agg(F.countDistinct("start").alias("n_windows"), best.alias("best")).select("doc_id", "item_id", "n_windows", (-F.col("best.start")).alias("start"), "best.similarity")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """docs without those in which a benchmark item was found."""
-    bad = leaks(docs, items, **how).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(written(bad, "leaks"), F.expr("doc_id <=> id"), "left_anti")
+    """docs without those in which a benchmark item was found, told apart by id and text."""
+    bad = written(_matches(docs, items, **how).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__found")).distinct(), "leaks")
+    tagged = docs.withColumn("__tag", F.xxhash64("text"))
+    return tagged.join(bad, F.expr("doc_id <=> __id and __tag = __found"), "left_anti").select(*docs.columns)

@@ -171,11 +171,16 @@ def links(fps: DataFrame) -> DataFrame:
     return first.where("b is not null").select("a", "b").union(second.select("a", "b"))
 
 
-def fingerprint_components(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """fp, component_id for each different fingerprint of marked (id_col, fp), which is best a written table."""
+def _rooted(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """fp, least (its smallest id) and root (a fingerprint that names its component) of each different fingerprint."""
     one = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "fps")
     roots = components(links(one.select("fp")))
-    named = one.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return one.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def fingerprint_components(marked: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """fp, component_id for each different fingerprint of marked (id_col, fp), which is best a written table."""
+    named = _rooted(marked, id_col)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return named.join(names, "root").select("fp", "component_id")
 
@@ -192,9 +197,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
-    marked = written(fingerprints(docs.select("doc_id", "text")), "marked")
-    named = marked.join(fingerprint_components(marked), "fp").where("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
-    kept = docs.join(named, docs["doc_id"].eqNullSafe(named["id"]), "left_semi")
-    # the null-safe join's own keys, so that the texts are shuffled once for both
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id")).orderBy(F.xxhash64("text"))
+    tagged = docs.withColumn("__tag", F.xxhash64("text"))
+    marked = written(fingerprints(tagged.select("doc_id", "text", "__tag"), keep=("doc_id", "__tag")), "marked")
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("__tag").alias("tag"))
+    chosen = marked.join(_rooted(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min(row).alias("x")).select("x.id", "x.tag")
+    kept = tagged.join(chosen, tagged["doc_id"].eqNullSafe(chosen["id"]) & (tagged["__tag"] == chosen["tag"]), "left_semi")
+    # rows alike in id and text are one; the null-safe join's own keys, so that the texts are shuffled once for both
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "__tag").orderBy("__tag")
     return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)

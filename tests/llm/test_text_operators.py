@@ -111,6 +111,22 @@ def test_keep_one(docs, empty):
     assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
+def test_keep_one_with_shared_and_null_ids(spark, empty):
+    """Different texts with a null or the same id all stay; a copy is kept once, by its smallest id."""
+    a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(40)) for x in ("apple", "berry", "cedar", "delta", "elder", "fig"))
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (None, e), (0, f), (3, f)]
+    some = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, True) for i, t in rows], empty.schema).repartition(3)
+    got = simhash.keep_one(some).collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e), ("0", f)])
+
+
+def test_clean_texts_stay_beside_a_leaking_one(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    some = spark.createDataFrame([(None, item), (None, "clean"), (7, f"so {item}"), (7, "clean too"), (8, None), (7, None)], "doc_id long, text string")
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in decontam.without_leaks(some, items).collect()) == [("7", "None"), ("7", "clean too"), ("8", "None"), ("None", "clean")]
+
+
 def test_leaks(spark, docs, empty):
     item = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen"
     items = spark.createDataFrame([(0, item), (1, None), (2, ""), (3, "Rare pair")], "item_id long, text string")
