@@ -1,11 +1,12 @@
 """Secret scans: fixed patterns, and a character convolutional network over every other candidate in context.
 
-A candidate is a run of 16 or more characters of keys and tokens. The network sees it with the characters
-around it: one-hot character classes, one convolution, maximum and mean over places, one hidden layer. It is
+A candidate is a run of 16 or more characters of keys and tokens, or what is left of one outside the
+patterns' spans if that is as long. The network sees it with the characters around it, a long one in
+overlapping windows up to its end, of which the highest score counts: one-hot character classes, one convolution, maximum and mean over places, one hidden layer. It is
 trained in NumPy on labelled findings (made by a seeded generator: keys, tokens and digests in the contexts
 that carry them, against long words, paths, addresses, numbers and identifiers), calibrated on a second set,
-and its threshold is the highest that still finds the wanted share of a third set's secrets. Candidates that
-touch a pattern's span are left to it; the patterns' spans always stay.
+and its threshold is the highest that still finds the wanted share of a third set's secrets. The
+patterns' spans always stay.
 
 Null and empty texts have no spans; repeated ids give a row each; an empty table gives no rows; other columns
 are not read. Positions are code points, ends exclusive.
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 import string
 
@@ -35,6 +37,8 @@ KINDS = ("assign", "access", "hex", "model")
 
 BEFORE, INSIDE, AFTER = 24, 40, 8
 WIDTH = BEFORE + INSIDE + AFTER
+#: Distance of a long candidate's windows, and windows that are scored at once.
+STRIDE, AT_ONCE = 8, 4096
 KERNEL, FILTERS, HIDDEN = 5, 16, 16
 RECALL = 0.98
 FINDINGS = 6_000
@@ -65,7 +69,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def window(text: str, start: int, end: int) -> np.ndarray:
-    """Character classes around a candidate; a long one shows its first INSIDE characters."""
+    """Character classes around a candidate; a long one shows the INSIDE characters from start."""
     before = text[max(0, start - BEFORE) : start]
     rest = text[start : min(start + INSIDE, end)]
     after = text[end : end + AFTER]
@@ -77,6 +81,29 @@ def window(text: str, start: int, end: int) -> np.ndarray:
     return out
 
 
+def window_starts(start: int, end: int) -> list[int]:
+    """Where a candidate's windows start; the last one is anchored to its end."""
+    last = max(start, end - INSIDE)
+    return [*range(start, last, STRIDE), last]
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]):
+    """(start, end) of the runs' parts outside the base spans, which are in order."""
+    j = 0
+    for m in CANDIDATE.finditer(text):
+        at = m.start()
+        while j < len(base) and base[j][0] < m.end():
+            s, _, e = base[j]
+            if s - at >= MIN_CANDIDATE:
+                yield at, s
+            at = max(at, e)
+            if e > m.end():
+                break  # it may reach the next run too
+            j += 1
+        if m.end() - at >= MIN_CANDIDATE:
+            yield at, m.end()
+
+
 class Network:
     """Weights of the network, its calibration and its threshold."""
 
@@ -100,6 +127,13 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(x) + self.shift, -50, 50)))
 
+    def scores(self, some: list[tuple[str, int, int]]) -> np.ndarray:
+        """The highest probability among each candidate's windows, for (text, start, end)."""
+        best, every = np.zeros(len(some)), ((k, t, at, e) for k, (t, s, e) in enumerate(some) for at in window_starts(s, e))
+        while part := list(itertools.islice(every, AT_ONCE)):
+            np.maximum.at(best, [k for k, *_ in part], self.probabilities(np.array([window(t, at, e) for _, t, at, e in part])))
+        return best
+
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 6, rate: float = 4e-3, seed: int = SEED) -> Network:
     """Adam on the logistic loss."""
@@ -186,27 +220,19 @@ def fitted(n: int = FINDINGS, recall: float = RECALL, seed: int = SEED) -> Netwo
     """The network trained, calibrated and given its threshold on three separate sets of findings."""
     net = train(*_arrays(findings(n, seed)), seed=seed)
     calibrate(net, *_arrays(findings(n // 3, seed + 1)))
-    x, y = _arrays(findings(n // 3, seed + 2))
-    p = np.sort(net.probabilities(x)[y == 1])
+    p = np.sort(net.scores([(t, s, e) for t, s, e, bad in findings(n // 3, seed + 2) if bad]))
     net.threshold = float(p[int(len(p) * (1 - recall))])
     return net
 
 
 def scan(texts: list[str], net: Network) -> list[tuple[list, list]]:
     """For each text the patterns' spans, and all spans with those that the network adds."""
-    base, asked, windows = [], [], []
-    for i, text in enumerate(texts):
-        own = base_spans(text)
-        base.append(own)
-        for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, _, e in own):
-                asked.append((i, m.start(), m.end()))
-                windows.append(window(text, m.start(), m.end()))
+    base = [base_spans(text) for text in texts]
+    asked = [(i, s, e) for i, text in enumerate(texts) for s, e in candidates(text, base[i])]
     every = [list(b) for b in base]
-    if asked:
-        for (i, s, e), p in zip(asked, net.probabilities(np.array(windows)), strict=True):
-            if p >= net.threshold:
-                every[i].append((s, 3, e))
+    for (i, s, e), p in zip(asked, net.scores([(texts[i], s, e) for i, s, e in asked]), strict=True):
+        if p >= net.threshold:
+            every[i].append((s, 3, e))
     return [(b, sorted(x)) for b, x in zip(base, every, strict=True)]
 
 

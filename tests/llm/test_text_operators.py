@@ -199,6 +199,19 @@ def test_secret_network_on_held_out_findings():
     assert p[y == 1].mean() > 0.93 and p[y == 0].mean() < 0.02
 
 
+def test_secrets_deep_in_a_run_are_found():
+    """Past a window's length, behind a digest, and after a long run of plain words."""
+    net, key, sha = secrets.fitted(), "AbC9dEf7GhI2jKl5MnO8pQr1StU4vWx6", "0123456789abcdef0123456789abcdef01234567"
+    path = "/srv/projects/website/config/production/deploy/keys/"
+    texts = [f"see {path}{key} there", f"at /repo/{sha}/ghp_{key}aB3d now", f"see {path}readme there"]
+    got = [[(k, s, e) for s, k, e in every] for _, every in secrets.scan(texts, net)]
+    assert got[0] == [(3, 4, 4 + len(path) + len(key))]
+    assert got[1] == [(2, 9, 49), (3, 49, 49 + 5 + len(key) + 4)] and got[2] == []
+    for n in (16, 40, 41, 100):
+        covered = {i for at in secrets.window_starts(7, 7 + n) for i in range(at, min(at + secrets.INSIDE, 7 + n))}
+        assert covered == set(range(7, 7 + n))
+
+
 def test_targets():
     got = mixing.targets({"a": 100, "b": 10, None: 90}, mixing.repeating_weights(["a", "b", None]))
     assert abs(sum(got.values()) - 200) < 1e-9 and got["b"] == 30 and all(got[s] <= 3 * n for s, n in {"a": 100, "b": 10, None: 90}.items())
