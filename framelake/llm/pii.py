@@ -8,9 +8,11 @@ its surrogate, so that all its spellings in all documents are replaced alike, ea
   the numbers of that length (cards keep their check sum, phones the digits before the last ten);
 - IPv4 addresses go through the same network over their two 16-bit halves;
 - mail addresses get keyed letters and digits in the places of the old ones, and a keyed domain;
-- names get a given name that fits the form of address (and script) and a family name made of syllables.
+- names get a given name that fits the form of address (and script) and a family name made of syllables. The
+  family name's surrogate follows from the family name (the last part) alone, so that a person with and without
+  given name agree; in the same document, the name without a form of address is replaced as well (not counted).
 
-The last two can collide. All different entities are gathered once, surrogates that two of them share are
+Those of mail, family names and given names can collide. All different entities are gathered once, surrogates that two of them share are
 found, and all but the first of such a group are made anew, until none is shared. The few remade ones are
 joined to the documents that hold them; all other documents are rewritten where they lie.
 
@@ -37,7 +39,11 @@ SSN = rf"{_EDGE}\d{{3}}-\d{{2}}-\d{{4}}{_END}"
 PHONE = rf"(?:\+\d{{1,3}}[ .-]?(?:\(\d{{2,4}}\)|\d{{2,4}})(?:[ .-]?\d{{2,4}}){{2,3}}|{_EDGE}\d{{3}}[.-]\d{{3}}[.-]\d{{4}}|(?<![\p{{L}}\p{{N}}_])\(\d{{3}}\) ?\d{{3}}[ .-]\d{{4}}){_END}"
 CARD = rf"{_EDGE}\d(?:[ -]?\d){{12,18}}{_END}"
 _MALE, _FEMALE, _ANY = "Mr|Herr|Monsieur|Señor|г-н", "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|г-жа", "Dr|Prof"
-NAME = rf"{_EDGE}(?:{_MALE}|{_FEMALE}|{_ANY})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?{_END}"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_ANY})\.? "
+_PARTICLE = "(?:von|van|vom|der|den|dem|de|del|della|di|da|do|dos|das|du|des|la|las|los|le|zu|zur|zum|und zu|ten|ter|bin|ibn|al|el|y|af|av|фон|де) "
+#: One part of a name: inner capitals, hyphens and apostrophes, but no form of address, no suffix and no possessive s.
+_PART = rf"(?!{_TITLE}|(?:Jr|Sr|II|III|IV){_END})(?:(?:\p{{Lu}}\. (?=\p{{Lu}}))|(?:(?:d|l|dell)['’]|(?:al|el)-)?\p{{Lu}}[\p{{L}}\p{{M}}]*+(?:['’-](?!s{_END})\p{{L}}[\p{{L}}\p{{M}}]*+)*+)"
+NAME = rf"{_EDGE}(?:{_TITLE})+(?:{_PARTICLE})*{_PART}(?:(?<= ){_PART}| (?:{_PARTICLE})*{_PART})*{_END}"
 ANY = "|".join((MAIL, SSN, IP, PHONE, CARD, NAME))
 
 #: Given names by form of address and script, and syllables of family names (fixed values).
@@ -107,36 +113,58 @@ def _mail(mail: Column, attempt: Column) -> Column:
     return F.concat(_letters(F.concat_ws("|", mail, attempt), F.concat(F.lit("aaaaaa"), user)), F.lit("@"), _letters(F.concat(F.lit("domain|"), domain), F.regexp_replace(F.substring_index(domain, ".", 1), r".*", "aaaaaaaa")), F.lit(".example"))
 
 
-def _name(name: Column, attempt: Column) -> Column:
-    """canonical is gender|script|words: given names first, a single word becomes a family name."""
+def _syllables(script: Column, h, n: int) -> Column:
+    made = F.lit(None).cast("string")
+    for s, parts in SYLLABLES.items():
+        table = F.array(*map(F.lit, parts.split()))
+        made = F.coalesce(made, F.when(script == s, F.initcap(F.concat(*[table[h(i)] for i in range(1, n + 1)]))))
+    return made
+
+
+def _family(name: Column, attempt: Column) -> Column:
+    """canonical is script|family name."""
+    return _syllables(F.split(name, r"\|")[0], lambda i: F.pmod(_hash(name, attempt, F.lit(i)), F.lit(16)).cast("int"), 6)
+
+
+def _given(name: Column, attempt: Column) -> Column:
+    """canonical is gender|script|given names; a remade one has a second part, so that there are enough of them."""
     gender, script = F.split(name, r"\|")[0], F.split(name, r"\|")[1]
     h = lambda i: F.pmod(_hash(name, attempt, F.lit(i)), F.lit(16)).cast("int")
-    given, family = F.lit(None).cast("string"), F.lit(None).cast("string")
+    given = F.lit(None).cast("string")
     for (g, s), names in GIVEN.items():
         given = F.coalesce(given, F.when((gender == g) & (script == s), F.array(*map(F.lit, names.split()))[h(0)]))
-    for s, parts in SYLLABLES.items():
-        table = F.array(*map(F.lit, parts.split()))
-        family = F.coalesce(family, F.when(script == s, F.initcap(F.concat(*[table[h(i)] for i in range(1, 7)]))))
-    return F.when(F.split(name, r"\|")[2].contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
+    return F.when(attempt > 0, F.concat_ws("-", given, _syllables(script, h, 4))).otherwise(given)
+
+
+def _bare(e: Column) -> Column:
+    """A name without its forms of address."""
+    return F.regexp_replace(e, rf"^(?:{_TITLE})+", "")
+
+
+def _last(name: Column) -> Column:
+    return F.substring_index(name, " ", -1)
 
 
 def _typed(e: Column) -> Column:
-    """kind and canonical form of an entity."""
+    """kind and canonical form of an entity, and of a name's given names (null without)."""
     digits = F.regexp_replace(e, r"\D", "")
-    title, rest = F.substring_index(e, " ", 1), F.regexp_replace(e, r"^\S+ ", "")
-    gender = F.when(title.rlike(rf"^(?:{_MALE})\.?$"), "m").when(title.rlike(rf"^(?:{_FEMALE})\.?$"), "f").otherwise("x")
+    title, rest = F.regexp_extract(e, rf"^(?:{_TITLE})+", 0), F.regexp_replace(_bare(e), "’", "'")
+    gender = F.when(title.rlike(rf"{_EDGE}(?:{_MALE})\.? "), "m").when(title.rlike(rf"{_EDGE}(?:{_FEMALE})\.? "), "f").otherwise("x")
     script = F.when(rest.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    s = lambda kind, canonical: F.struct(F.lit(kind).alias("kind"), canonical.alias("canonical"))
+    family = F.lower(_last(rest))
+    words = F.trim(F.regexp_replace(F.substring(rest, F.lit(1), F.length(rest) - F.length(family)), rf"{_EDGE}{_PARTICLE}", ""))
+    given = F.when(words != "", F.concat_ws("|", gender, script, F.lower(words)))
+    s = lambda kind, canonical, given=F.lit(None).cast("string"): F.struct(F.lit(kind).alias("kind"), canonical.alias("canonical"), given.alias("given"))
     return (
         F.when(e.contains("@"), s("mail", F.lower(e))).when(e.rlike(rf"^{SSN}$"), s("ssn", digits)).when(e.rlike(rf"^{IP}$"), s("ip", e))
         .when(e.rlike(rf"^(?:{PHONE})$"), s("phone", F.when(F.length(digits) > 10, F.right(digits, F.lit(10))).otherwise(digits)))
-        .when(e.rlike(r"^\d"), s("card", digits)).otherwise(s("name", F.concat_ws("|", gender, script, F.lower(rest))))
+        .when(e.rlike(r"^\d"), s("card", digits)).otherwise(s("name", F.concat_ws("|", script, family), given))
     )
 
 
 def _surrogate(kind: Column, canonical: Column, attempt: Column) -> Column:
     """The canonical form of an entity's surrogate."""
-    return F.when(kind == "mail", _mail(canonical, attempt)).when(kind == "ip", _ip(canonical)).when(kind == "card", _card(canonical)).when(kind == "name", _name(canonical, attempt)).otherwise(_number(canonical, kind))
+    return F.when(kind == "mail", _mail(canonical, attempt)).when(kind == "ip", _ip(canonical)).when(kind == "card", _card(canonical)).when(kind == "name", _family(canonical, attempt)).when(kind == "given", _given(canonical, attempt)).otherwise(_number(canonical, kind))
 
 
 def _surrogates(entities: DataFrame) -> DataFrame:
@@ -150,7 +178,7 @@ def _laid_out(e: Column, kind: Column, surrogate: Column) -> Column:
     digit = lambda i: F.substring(surrogate, before(i) - skip + 1, F.lit(1))
     number = F.concat_ws("", F.transform(F.split(e, ""), lambda ch, i: F.when(ch.rlike(r"\d") & (before(i) >= skip), digit(i)).otherwise(ch)))
     upper = lambda x: F.when(e == F.upper(e), F.upper(x)).otherwise(x)
-    return F.when(kind == "mail", upper(surrogate)).when(kind == "ip", surrogate).when(kind == "name", F.concat(F.substring_index(e, " ", 1), F.lit(" "), surrogate)).otherwise(number)
+    return F.when(kind == "mail", upper(surrogate)).when(kind == "ip", surrogate).when(kind == "name", F.concat(F.regexp_extract(e, rf"^(?:{_TITLE})+", 0), surrogate)).otherwise(number)
 
 
 def _may_hold(text: Column) -> Column:
@@ -171,7 +199,7 @@ def collisions(entities: DataFrame) -> DataFrame | None:
     entities (kind, canonical) are different and should be a written table.
     """
     fixed, attempt = None, 0
-    now = _surrogates(entities.where("kind in ('mail', 'name')").withColumn("attempt", F.lit(0)))
+    now = _surrogates(entities.where("kind in ('mail', 'name', 'given')").withColumn("attempt", F.lit(0)))
     first = now
     while True:
         least = now.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "keeper")
@@ -185,12 +213,18 @@ def collisions(entities: DataFrame) -> DataFrame | None:
         now = first.join(fixed.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", "surrogate").unionByName(fixed.select("kind", "canonical", "surrogate"))
 
 
+def _keys(x: Column) -> Column:
+    """What of an entity gets a surrogate of its own: it, and a name's given names."""
+    t = x["t"]
+    return F.array(F.struct(t["kind"].alias("kind"), t["canonical"].alias("canonical")), F.struct(F.lit("given").alias("kind"), t["given"].alias("canonical")))
+
+
 def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_entities and the text with each entity replaced."""
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # a generated column is worked out once a row, where a projected one is once for each of its uses
     listed = docs.select("doc_id", "text", F.explode_outer(F.array(entities_of(F.col("text")))).alias("entities"))
-    some = listed.where("size(entities) > 0").select("doc_id", F.xxhash64("text").alias("tag"), F.explode("entities.t").alias("t")).select("doc_id", "tag", "t.kind", "t.canonical").distinct()
+    some = listed.where("size(entities) > 0").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.flatten(F.transform("entities", _keys))).alias("t")).where("t.canonical is not null").select("doc_id", "tag", "t.kind", "t.canonical").distinct()
     some = written(some, "entities")
     fixed = collisions(written(some.select("kind", "canonical").distinct(), "distinct-entities"))
     if fixed is None:
@@ -204,7 +238,15 @@ def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _rewritten(listed: DataFrame, gaps: Column) -> DataFrame:
-    own = F.transform("entities", lambda x: F.struct(x["e"].alias("e"), x["t"]["kind"].alias("kind"), F.coalesce(F.element_at("remade", x["t"]["canonical"]), _surrogate(x["t"]["kind"], x["t"]["canonical"], F.lit(0))).alias("surrogate")))
-    new = F.transform(own, lambda x: _laid_out(x["e"], x["kind"], x["surrogate"]))
-    both = F.concat_ws("", F.flatten(F.zip_with(gaps, new, lambda g, e: F.array(g, F.coalesce(e, F.lit(""))))))
+    made = lambda kind, canonical: F.coalesce(F.element_at("remade", canonical), _surrogate(kind, canonical, F.lit(0)))
+    own = F.transform("entities", lambda x: F.struct(x["e"].alias("e"), x["t"]["kind"].alias("kind"), made(x["t"]["kind"], x["t"]["canonical"]).alias("surrogate"), F.when(x["t"]["given"].isNotNull(), made(F.lit("given"), x["t"]["given"])).alias("given")))
+    # generated, as in with_surrogates, to be worked out once a row
+    listed = listed.select("*", F.explode_outer(F.array(own)).alias("own"))
+    new = F.transform("own", lambda x: _laid_out(x["e"], x["kind"], F.when(x["kind"] == "name", F.concat_ws(" ", x["given"], x["surrogate"])).otherwise(x["surrogate"])))
+    # names as written, the longest first, for their mentions without a form of address
+    entry = lambda word, by: F.struct((-F.length(word)).alias("order"), word.alias("word"), by.alias("by"))
+    names = F.transform(F.filter("own", lambda x: x["kind"] == "name"), lambda x: F.array(entry(_bare(x["e"]), F.concat_ws(" ", x["given"], x["surrogate"])), entry(_last(_bare(x["e"])), x["surrogate"])))
+    listed = listed.select("*", F.explode_outer(F.array(F.array_sort(F.array_distinct(F.flatten(names))))).alias("names"))
+    again = lambda g: F.aggregate("names", g, lambda text, n: F.regexp_replace(text, F.concat(F.lit(_EDGE + r"\Q"), n["word"], F.lit(r"\E" + _END)), n["by"]))
+    both = F.concat_ws("", F.flatten(F.zip_with(gaps, new, lambda g, e: F.array(again(g), F.coalesce(e, F.lit(""))))))
     return listed.withColumn("new_text", F.when(F.size("entities") > 0, both).otherwise(F.col("text"))).withColumn("entities", F.coalesce("entities", F.filter(entities_of(F.lit("")), lambda x: F.lit(True))))
