@@ -116,9 +116,11 @@ def _group_links(last: bool):
 
         def finish():
             fps = np.unique(np.concatenate(held).view(np.uint64)) if held else np.empty(0, np.uint64)
+            if spilled:  # the rest, however little, is compared with what was passed on
+                return [], fps
             if len(fps) < 2 or not _pairs(fps, held_key[1]):
                 return [], []
-            if not last and (spilled or _pairs(fps, held_key[1]) > MOST_PAIRS):
+            if not last and _pairs(fps, held_key[1]) > MOST_PAIRS:
                 return [], fps
             return links_within(fps, held_key[1]), []
 

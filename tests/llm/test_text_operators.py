@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -104,6 +105,20 @@ def test_all_links_are_found(spark, monkeypatch, most):
     assert all(got.get(f, f) == find(f) for f in fps)
 
 
+def test_the_rest_of_a_large_variant_is_passed_on(monkeypatch):
+    """One fingerprint left of a variant, or several on one side of its wildcard bit, after the others were passed on."""
+    monkeypatch.setattr(simhash, "MOST_HELD", 2)
+    batch = lambda fps: pa.RecordBatch.from_pydict({"variant": pa.array([5] * len(fps), pa.int64()), "wildcard": pa.array([1] * len(fps), pa.int32()), "fp": pa.array(fps, pa.int64())})
+    for rest in ([8], [8, 12]):
+        out = [r for b in simhash._group_links(False)([batch([0, 1, 2]), batch(rest)]) for r in b.to_pylist()]
+        assert sorted(r["a"] for r in out) == [0, 1, 2, *rest] and all(r["b"] is None for r in out)
+
+
+def test_all_links_are_found_when_little_is_held(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_HELD", 2)
+    test_all_links_are_found(spark, monkeypatch, 1 << 24)
+
+
 def test_keep_one(docs, empty):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
