@@ -15,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of one Arrow batch sent to a Python worker, so that very long texts cannot pile up.
 BATCH_BYTES = 4 << 20
+BATCH_ROWS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,25 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Limit Arrow batches by bytes as well as by rows."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
+    """Limit Arrow batches by bytes as well as by rows.
+
+    Spark reads these settings when a plan runs, so they stay in the session; a limit that is lower already is kept.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(name).lower().removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder all machines share: spark.checkpoint.dir. Only where one machine is all there is may it be unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = tempfile.mkdtemp(prefix="framelake-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts lineage and survives lost executors. It goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,10 +9,11 @@ windows have an equal least hash, so all stretches of one least hash, sorted as
 2. Each chunk sends its distinct least hashes, 6 bytes each in one packed row a bucket; buckets return those
    that two documents may hold (two hashes that agree in 47 bits only cost time). A hash that all documents hold comes once from a chunk, never once a row.
 3. Chunks send the stretches of these hashes, an equal stretch once for its smallest document (later ones
-   are removed where they lie). Spark sorts them by hash, spilling as it must, and a task cuts its rows into
-   shards of bounded size. Stretches equal throughout are joined; what remains is suffix-sorted
-   (suffix_sort.py), neighbours are compared, and windows of a class go if a smaller document has one.
-   A single hash is one shard, however large: the sort's queues then lie on disk, its texts in memory.
+   are removed where they lie). Spark sorts them by hash, bytes and document, spilling as it must; a task reads them
+   in that order, so that equal stretches follow each other and only the first goes into a shard. A shard is
+   suffix-sorted with common prefixes (suffix_sort.py): suffixes that share 50 bytes with the one before are one
+   class, and windows of a class go if a smaller document has one. A shard is cut where a hash begins; a single hash
+   is one shard, however large: its texts, the sort and its result then lie in scratch files, not in memory.
 4. Covered ranges return to their chunk, packed, where the bytes are taken out.
 
 Only stage 3 makes text larger than itself, and only where it is shared.
@@ -24,20 +25,22 @@ one id do not remove from each other; an empty table gives no rows; other column
 from __future__ import annotations
 
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
-from .suffix_sort import suffix_order
+from .suffix_sort import LIMIT, Scratch, Spool, suffix_order
 
 LENGTH = 50
 K = 19  # 32 hashes a window, so that five doublings find the least
 MOST_WINDOWS = 256
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 8 << 20
 BLOCK = 1 << 16
 BUCKET_BYTES = 4 << 20
 LAST = (1 << 63) - 1
@@ -270,91 +273,169 @@ def _to_stretches(batches):
                 yield _range_row(chunk, start[gone], start[gone] + n[gone] + LENGTH - 1)
 
 
-def _sort_shard(texts: list[bytes], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, first and last window of the runs of windows that a text of a smaller document has too."""
-    sizes = np.array([len(x) for x in texts], np.int64)
-    begin = np.concatenate(([0], np.cumsum(sizes + 1)))
-    raw = np.frombuffer(b"\0".join(texts) + b"\0" * 9, np.uint8)
-    n = int(begin[-1])
-    symbols = np.empty(n + 1, np.uint16)
-    symbols[:n] = raw[:n]
-    symbols[:n] += 2
-    symbols[begin[1:] - 1] = 1
-    symbols[n] = 0
-    is_window = np.zeros(n + 1, bool)
-    for a, size in zip(begin.tolist(), sizes.tolist(), strict=False):
-        is_window[a : a + size - LENGTH + 1] = True
-    order = suffix_order(symbols, LENGTH)
-    order = order[is_window[order]].astype(np.int64)
-    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
-    equal = np.ones(len(order) - 1, bool)
-    for k in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        column = eight[order + k]
-        equal &= column[1:] == column[:-1]
-    first = np.concatenate(([0], np.flatnonzero(~equal) + 1))
-    owner = np.searchsorted(begin, order, side="right") - 1
-    least = np.minimum.reduceat(doc[owner], first)
-    goes = np.zeros(n + 2, bool)
-    goes[1:][order] = doc[owner] > np.repeat(least, np.diff(np.append(first, len(order))))
-    edge = np.flatnonzero(goes[1:] != goes[:-1])
-    a, b = edge[::2], edge[1::2]
-    text = np.searchsorted(begin, a, side="right") - 1
-    return text, a - begin[text], b - begin[text]
-
-
-def _solve(rows: list[tuple]):
-    """Packed ranges by chunk for all stretches of some hashes, the rows being in order of the hash."""
-    known: dict[bytes, int] = {}
-    texts, number, value_of = [], [], []
-    for value, _, _, _, x in rows:
-        i = known.setdefault(x, len(texts))
-        if i == len(texts):
-            texts.append(x)
-            value_of.append(value)
-        number.append(i)
-    number = np.array(number)
-    doc = np.array([r[3] for r in rows], np.int64)
-    least = np.full(len(texts), LAST, np.int64)
-    np.minimum.at(least, number, doc)
-    out: dict[int, list] = {}
-    owners: dict[int, list] = {}
-    for r, i in zip(rows, number.tolist(), strict=True):
-        if r[3] > least[i]:
-            out.setdefault(r[1], []).append((r[2], r[2] + len(r[4])))
-        else:
-            owners.setdefault(i, []).append(r)
-    value_of = np.array(value_of)
-    same = value_of[1:] == value_of[:-1]  # texts of one hash follow each other
-    pick = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
-    if len(pick):
-        for i, a, b in zip(*(x.tolist() for x in _sort_shard([texts[j] for j in pick.tolist()], least[pick])), strict=True):
-            for _, chunk, at, _, _ in owners[int(pick[i])]:
-                out.setdefault(chunk, []).append((at + a, at + b + LENGTH - 1))
-    for chunk, pairs in out.items():
-        p = np.array(pairs, np.int64)
-        yield chunk, _ranges(p[:, 0], p[:, 1]).tobytes()
-
-
-def _solved(shard_bytes: int):
+class _Shard:
+    """The different stretches of some hashes, end to end, with where they lie; in memory or in the task's scratch files."""
+
+    def __init__(self, limit: int):
+        self.scratch = Scratch(limit)
+        self.texts, self.sizes, self.doc = Spool(self.scratch, np.uint8), Spool(self.scratch, np.int64), Spool(self.scratch, np.int64)
+        self.owner, self.chunk, self.at = Spool(self.scratch, np.int64), Spool(self.scratch, np.int64), Spool(self.scratch, np.int64)
+        self.last, self.n = None, 0
+
+    def add(self, chunk: np.ndarray, at: np.ndarray, doc: np.ndarray, new: np.ndarray, texts: list[bytes]) -> None:
+        """Rows in order; new: whether a row's text differs from the one before it. Its doc is the text's smallest."""
+        number = self.n - 1 + np.cumsum(new)
+        self.owner.append(number)
+        self.chunk.append(chunk)
+        self.at.append(at)
+        self.doc.append(doc[new])
+        self.sizes.append(np.array([len(x) for x in texts], np.int64))
+        self.texts.append(np.frombuffer(b"\0".join([*texts, b""]), np.uint8))
+        self.n += len(texts)
+
+    @property
+    def bytes(self) -> int:
+        return self.texts.n
+
+    def solved(self):
+        """Chunk, first and last byte of what goes, in blocks."""
+        if self.n < 2:
+            return
+        sizes, doc = self.sizes.finished(), self.doc.finished()
+        begin = self.scratch.array(self.n + 1, np.int64)
+        np.cumsum(sizes + 1, out=begin[1:])
+        raw, n = self.texts.finished(), self.texts.n
+        symbols, is_window = self.scratch.array(n + 1, np.uint16), self.scratch.array(n + 1, bool)
+        for a in range(0, n, BLOCK):
+            symbols[a : min(n, a + BLOCK)] = raw[a : a + BLOCK]
+            symbols[a : min(n, a + BLOCK)] += 2
+        for a in range(0, self.n, BLOCK):
+            own = begin[a : min(self.n, a + BLOCK) + 1]
+            symbols[own[1:] - 1] = 1
+            edges = np.zeros(int(own[-1] - own[0]) + 1, np.int8)
+            np.add.at(edges, own[:-1] - own[0], 1)
+            np.add.at(edges, own[1:] - own[0] - LENGTH, -1)
+            is_window[int(own[0]) : int(own[-1])] = np.cumsum(edges[:-1]) > 0
+        symbols[n] = 0
+        order = suffix_order(symbols, LENGTH, self.scratch)
+        # suffixes that agree with the one before in LENGTH bytes are one class; its smallest document keeps it
+        least = Spool(self.scratch, np.int64)
+        whose, lowest = lambda pos: doc[np.searchsorted(begin, pos, side="right") - 1], None
+        for pos, lcp in order.blocks():
+            first = np.flatnonzero(lcp < LENGTH)
+            lows = np.minimum.reduceat(whose(np.minimum(pos, n - 1)), np.concatenate(([0], first[first > 0])))  # the end mark is alone in its class
+            if lowest is not None and len(first) and first[0] == 0:
+                least.append(np.array([lowest]))
+            elif lowest is not None:
+                lows[0] = min(lows[0], lowest)
+            least.append(lows[:-1])
+            lowest = int(lows[-1])
+        least.append(np.array([lowest]))
+        least = least.finished()
+        goes, nth = self.scratch.array(n + 2, bool), -1
+        for pos, lcp in order.blocks():
+            number = nth + np.cumsum(lcp < LENGTH)
+            nth = int(number[-1])
+            pos, number = pos[pos < n], number[pos < n]
+            goes[pos + 1] = is_window[pos] & (whose(pos) > least[number])
+        edges = Spool(self.scratch, np.int64)
+        for a in range(0, n + 1, BLOCK):
+            own = goes[a : min(n + 2, a + BLOCK + 1)]
+            edges.append(np.flatnonzero(own[1:] != own[:-1]) + a)
+        edges = edges.finished()
+        owner, chunk, at = self.owner.finished(), self.chunk.finished(), self.at.finished()
+        for k in range(0, len(edges), BLOCK):
+            a, b = edges[k : k + BLOCK : 2], edges[k + 1 : k + BLOCK : 2]
+            text = np.searchsorted(begin, a, side="right") - 1
+            from_, to = np.searchsorted(owner, text, side="left"), np.searchsorted(owner, text, side="right")
+            times = to - from_
+            rows = np.repeat(from_, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            start = at[rows] + np.repeat(a - begin[text], times)
+            yield chunk[rows], start, start + np.repeat(b - a, times) + LENGTH - 1
+
+
+def _packed(chunk: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Ranges as a row for each chunk."""
+    order = np.argsort(chunk, kind="stable")
+    chunk, start, end = chunk[order], start[order], end[order]
+    cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)] if len(chunk) else [0]
+    pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
+    return pa.RecordBatch.from_pydict({"chunk": pa.array([int(chunk[a]) for a, _ in pairs], pa.int64()), "packed": pa.array([_ranges(start[a:b], end[a:b]).tobytes() for a, b in pairs], pa.binary())})
+
+
+def _solved(shard_bytes: int, limit: int):
+    """Rows in order of hash, bytes and document to packed ranges; a shard ends with the hash that passes shard_bytes.
+
+    Rows of a text that a smaller document has too go at once. A hash of a single text needs no sorting; so the last
+    text of a batch waits for the next one, if it is the first of its hash.
+    """
+
     def solved(batches):
-        rows, size = [], 0
+        shard, before, text, least = _Shard(limit), None, None, None
+        waiting = (np.empty(0, np.int64),) * 4, []
 
-        def flush():
-            done = list(_solve(rows))
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([c for c, _ in done], pa.int64()), "packed": pa.array([p for _, p in done], pa.binary())})
+        def settled():
+            for chunk, start, end in shard.solved():
+                yield _packed(chunk, start, end)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if row[3] is None:
-                    yield pa.RecordBatch.from_pydict({"chunk": pa.array([row[1]], pa.int64()), "packed": pa.array([row[4]], pa.binary())})
-                    continue
-                if size > shard_bytes and row[0] != rows[-1][0]:
-                    yield flush()
-                    rows, size = [], 0
-                rows.append(row)
-                size += len(row[4]) + 1
-        if rows:
-            yield flush()
+            packed = batch.column("doc_id").is_null()
+            if (ready := batch.filter(packed)).num_rows:
+                yield ready.select(["chunk", "bytes"]).rename_columns(["chunk", "packed"])
+            rows = batch.filter(pc.invert(packed))
+            if not rows.num_rows:
+                continue
+            columns, texts = [rows.column(i).to_numpy(zero_copy_only=False) for i in range(4)], rows.column(4).to_pylist()
+            goes = np.empty(len(texts), bool)
+            for i, (x, d) in enumerate(zip(texts, columns[3].tolist(), strict=True)):
+                if x != text:
+                    text, least = x, d
+                goes[i] = d > least
+            if goes.any():
+                size = np.array([len(x) for x, g in zip(texts, goes.tolist(), strict=True) if g])
+                yield _packed(columns[1][goes], columns[2][goes], columns[2][goes] + size)
+            stays = ~goes
+            value, chunk, at, doc = (np.concatenate((w, c[stays])) for w, c in zip(waiting[0], columns, strict=True))
+            texts = waiting[1] + [x for x, g in zip(texts, goes.tolist(), strict=True) if not g]
+            if not texts:
+                continue
+            new = np.array([True, *(x != y for x, y in itertools.pairwise(texts))])
+            if before is not None and before[1] == texts[0]:
+                new[0] = False
+            first = np.flatnonzero(new)
+            hashes = value[first]
+            joins = np.concatenate(([before is not None and len(hashes) > 0 and before[0] == hashes[0]], hashes[1:] == hashes[:-1])) if len(hashes) else np.empty(0, bool)
+            some = joins | np.append(joins[1:], False)  # texts that are not alone in their hash
+            end = len(texts)
+            if len(hashes) and not joins[-1]:
+                end = int(first[-1])
+                some[-1] = False
+            waiting = tuple(x[end:] for x in (value, chunk, at, doc)), texts[end:]
+            if not end:
+                continue
+            # rows that go on with a text of the batch before stay with it
+            nth = np.cumsum(new[:end]) - 1
+            keep = np.concatenate((some, [True]))[nth]
+            before = (value[end - 1], texts[end - 1])
+            value, chunk, at, doc, new = (x[:end][keep] for x in (value, chunk, at, doc, new))
+            texts = [x for x, k in zip(texts[:end], keep.tolist(), strict=True) if k]
+            if not texts:
+                continue
+            size = np.concatenate(([0], np.cumsum([len(x) + 1 for x in texts])))  # bytes before each row
+            begins = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
+            done = 0
+            while done < len(texts):
+                free = (begins > done) | ((begins == done) & (shard.n > 0) & (value[done] != shard.last))
+                full = begins[free & (shard.bytes + size[begins] - size[done] > shard_bytes)]
+                cut = int(full[0]) if len(full) else len(texts)
+                if cut > done:
+                    shard.add(chunk[done:cut], at[done:cut], doc[done:cut], new[done:cut], [x for x, n in zip(texts[done:cut], new[done:cut].tolist(), strict=True) if n])
+                    shard.last = int(value[cut - 1])
+                if cut < len(texts):
+                    yield from settled()
+                    shard = _Shard(limit)
+                done = cut
+        yield from settled()
 
     return solved
 
@@ -388,10 +469,10 @@ def _removed(with_text: bool):
     return removed
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, shard_bytes: int = SHARD_BYTES, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each document; with_text adds the kept bytes.
 
-    A shard ends with the hash that passes shard_bytes.
+    A shard ends with the hash that passes shard_bytes; its arrays beyond `limit` bytes lie in scratch files.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -411,7 +492,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = bare.join(answers(chunks.select("chunk", "doc_ids", "digests").mapInArrow(_digests(buckets), asked), _copied, "copies"), "chunk", "left")
     masks = answers(known.mapInArrow(_hashes(buckets), asked), _shared, "masks")
     found = known.join(masks, "chunk", "left").mapInArrow(_to_stretches, "value long, chunk long, at long, doc_id long, bytes binary")
-    ranges = found.repartition("value").sortWithinPartitions("value").mapInArrow(_solved(shard_bytes), "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("ranges"))
+    ranges = found.repartition("value").sortWithinPartitions("value", "bytes", "doc_id").mapInArrow(_solved(shard_bytes, limit), "chunk long, packed binary").groupBy("chunk").agg(F.collect_list("packed").alias("ranges"))
     # all joins are left joins of the same columns, so that the chunks are shuffled once
     extra = ", kept binary" if with_text else ""
     return bare.join(ranges, "chunk", "left").mapInArrow(_removed(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
