@@ -8,12 +8,19 @@ hypergeometric and sum exactly to the quotas. Shards then own disjoint runs of t
 by the position of its last block, and are shuffled within themselves by a second key.
 
 Because a run is an interval of hash positions, a document finds out which of its blocks are drawn, and into
-which shard, from its own id and its source's list of ends: texts are never shuffled for that, and a hot
+which shard, from its own key and its source's list of ends: texts are not shuffled for that, and a hot
 source is spread over 4,096 ranges of the key when its order is worked out. What comes to the driver is a
-few numbers for each source; sources are named by the mix's configuration and are taken to be few.
+few numbers for each source and shard. That is the mix's own configuration, so sources may be at most
+`MOST_SOURCES` (more is an error, never a part of them), and the plan is broadcast only up to `MOST_BROADCAST`
+numbers.
 
-Null texts have size 0, which no pass takes; null sources are one source, last in order; repeated rows are
-drawn alike; an empty table gives an empty mix; extra columns pass through `mix` and are ignored elsewhere.
+A block's key is hashed from the document's id, its text's hash, its number among rows with the same id,
+text and source, and the block's number. So null and repeated ids share no keys, and of exact copies some may be drawn and
+others not. Only rows that have such a copy are shuffled for their numbers, dealt by the part of the input they
+lie in, so that copies are never gathered in one task.
+
+Null texts have size 0, which no pass takes; null sources are one source, last in order; an empty table gives
+an empty mix; all columns pass through `mix`, whatever their names, and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -31,6 +38,8 @@ SHARDS = 16
 SEED = "mix"
 MOST = 3
 KEY_BITS, RANGE_BITS = 60, 12
+#: Sources that a mix may name, and numbers of the plan (one for each source and shard) that are broadcast.
+MOST_SOURCES, MOST_BROADCAST = 100_000, 400_000
 
 
 def targets(sizes: dict, weights: dict, most: int = MOST) -> dict:
@@ -109,32 +118,57 @@ def _size(text: Column) -> Column:
 
 
 def _key(block: Column) -> Column:
-    return keyed(SEED, F.col("doc_id"), block)
+    return keyed(SEED, F.col("doc_id"), F.col("tag"), F.col("nth"), block)
+
+
+def _numbered(rows: DataFrame, keep: bool = False) -> DataFrame:
+    """rows (with doc_id, tag, source) and `nth`: 0, 1, ... among the rows with the same three, in any order.
+
+    Copies are numbered within their part of the input, and the parts' counts give each part its first number.
+    keep: write the result, if there are copies at all.
+    """
+    by = ["doc_id", "tag", "source"]
+    same = lambda a, b: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in by))
+    placed = rows.withColumn("part", F.spark_partition_id())
+    counts = written(placed.groupBy(*by, "part").agg(F.count("*").alias("n")), "mix-counts")
+    several = written(counts.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1").select(*by), "mix-copies")
+    if several.isEmpty():
+        return rows.withColumn("nth", F.lit(0).cast("long"))
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.alias("c").join(several.alias("s"), same("c", "s"), "left_semi").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = placed.alias("r").join(several.alias("s"), same("r", "s"), "left_semi").withColumn("own", F.row_number().over(Window.partitionBy(*by, "part").orderBy("tag")))
+    copies = own.alias("o").join(first.alias("f"), same("o", "f") & F.expr("o.part = f.part")).select(*[F.col(f"o.{c}").alias(c) for c in rows.columns], (F.col("first") + F.col("own") - 1).cast("long").alias("nth"))
+    alone = placed.alias("r").join(several.alias("s"), same("r", "s"), "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth"))
+    every = alone.unionByName(copies)
+    return written(every, "mix-numbered") if keep else every
 
 
 def _blocks(sizes: DataFrame, block_words: int) -> DataFrame:
     """A row for each block: source, words, key and the key's range."""
     some = sizes.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(0L, (size - 1) div {block_words})")))
-    cut = some.select("source", "doc_id", "size", "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), _key(F.col("block")).alias("key"))
+    cut = some.select("source", "doc_id", "tag", "nth", "size", "block", F.least(F.lit(block_words).cast("long"), F.col("size") - F.col("block") * block_words).alias("words"), _key(F.col("block")).alias("key"))
     return cut.withColumn("range", F.shiftright("key", KEY_BITS - RANGE_BITS).cast("int"))
 
 
 def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: dict | None = None) -> DataFrame:
     """source, source_size, target, ends: for each shard, the last position (pass and key) of its run.
 
-    sizes has doc_id, source and size and is read a few times, so it should be a written table.
+    sizes has doc_id, tag, nth, source and size and is read a few times, so it should be a written table.
     """
     spark = sizes.sparkSession
+    if sizes.select("source").distinct().limit(MOST_SOURCES + 1).count() > MOST_SOURCES:
+        raise ValueError(f"a mix is planned over at most {MOST_SOURCES} sources")
     blocks = _blocks(sizes, block_words)
     by_source = {r["source"]: (r["size"], r["n"]) for r in sizes.groupBy("source").agg(F.sum("size").alias("size"), F.sum(F.expr(f"(size + {block_words - 1}) div {block_words}")).alias("n")).collect()}
-    size = {s: x[0] for s, x in by_source.items()}
+    # in a fixed order, as the tree draws for one source after the other
+    size = {s: by_source[s][0] for s in sorted(by_source, key=lambda s: (s is None, s or ""))}
     want = targets(size, weights or repeating_weights(list(size))) if sum(size.values()) else dict.fromkeys(size, 0.0)
     passes = {s: min(MOST, int(want[s] // size[s])) if size[s] else 0 for s in size}
     rest = [(s, float(want[s] - passes[s] * size[s])) for s in size]
     so_far = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = blocks.groupBy("source", "range").agg(F.count("*").alias("n"), F.sum("words").alias("w"))
     ranges = written(ranges.withColumns({"n0": F.coalesce(F.sum("n").over(so_far), F.lit(0)), "w0": F.coalesce(F.sum("w").over(so_far), F.lit(0))}), "mix-ranges")
-    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "block", "size")
+    in_range = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tag", "nth", "block")
 
     def near(wanted: DataFrame) -> DataFrame:
         """The blocks of the ranges that are wanted, numbered and summed within their range."""
@@ -162,9 +196,10 @@ def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS,
     return spark.createDataFrame(rows, "source string, source_size long, target double, ends array<long>")
 
 
-def _planned(docs: DataFrame, planned: DataFrame, block_words: int) -> DataFrame:
+def _planned(docs: DataFrame, planned: DataFrame, block_words: int, shards: int) -> DataFrame:
     """docs with their source's plan and `drawn`: pass, block, shard and order of each of their draws."""
-    joined = docs.alias("d").join(F.broadcast(planned).alias("p"), F.expr("d.source <=> p.source")).select("d.*", "source_size", "target", "ends")
+    small = planned.count() * shards <= MOST_BROADCAST
+    joined = docs.alias("d").join((F.broadcast(planned) if small else planned).alias("p"), F.expr("d.source <=> p.source")).select("d.*", "source_size", "target", "ends")
     keys = F.when(F.col("size") > 0, F.expr(f"sequence(0L, (size - 1) div {block_words})")).otherwise(F.array().cast("array<long>"))
     listed = joined.withColumn("keys", F.transform(keys, lambda b: F.struct(b.alias("block"), _key(b).alias("key"))))
     drawn = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(MOST - 1)), lambda p: F.transform(F.filter("keys", lambda k: F.shiftleft(p.cast("long"), KEY_BITS) + k["key"] <= F.element_at("ends", -1)), lambda k: F.struct(p.alias("pass"), k["block"].alias("block"), (F.shiftleft(p.cast("long"), KEY_BITS) + k["key"]).alias("at")))))
@@ -172,13 +207,15 @@ def _planned(docs: DataFrame, planned: DataFrame, block_words: int) -> DataFrame
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return written(docs.select(F.col("doc_id"), F.col("source"), _size(F.col("text")).alias("size")), "mix-sizes")
+    """doc_id, tag (of the text), nth, source and size of each row, as a written table."""
+    rows = written(docs.select("doc_id", F.xxhash64("text").alias("tag"), "source", _size(F.col("text")).alias("size")), "mix-sizes")
+    return _numbered(rows, keep=True)
 
 
 def mix_report(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: dict | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and n_shards of every document."""
     sizes = sizes_of(docs)
-    mixed = _planned(sizes, plan(sizes, block_words, shards, weights), block_words)
+    mixed = _planned(sizes, plan(sizes, block_words, shards, weights), block_words, shards)
     words = lambda x: F.least(F.lit(block_words).cast("long"), F.col("size") - x["block"] * block_words)
     shard = lambda x: F.size(F.filter("ends", lambda e: e < x["at"]))
     return mixed.select("doc_id", "size", "source_size", "target", F.aggregate(F.transform("drawn", words), F.lit(0).cast("long"), lambda a, b: a + b).alias("taken"), F.size(F.array_distinct(F.transform("drawn", shard))).alias("n_shards"))
@@ -189,28 +226,32 @@ def block_texts(text: Column, block_words: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?:\\A{WORD_GAP}+)?(?:{WORD}+(?:{WORD_GAP}+)?){{1,{block_words}}}+"), 0)
 
 
+def _drawn_rows(docs: DataFrame, block_words: int, shards: int, weights: dict | None) -> DataFrame:
+    """row (all columns of docs), doc_id, source, text, size, source_size, target, ends and drawn."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("tag"), "source", "text", _size(F.col("text")).alias("size"))
+    return _planned(_numbered(rows), plan(sizes_of(docs), block_words, shards, weights), block_words, shards)
+
+
 def mixed_blocks(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: dict | None = None) -> DataFrame:
     """The mix itself: shard, order, doc_id, source, block and text of each draw, shuffled within its shard.
 
     Rows are dealt by shard and a range of the order, so that no task need hold a shard.
     """
-    sized = docs.select("doc_id", "source", "text").withColumn("size", _size(F.col("text")))
-    mixed = _planned(sized, plan(sizes_of(docs), block_words, shards, weights), block_words)
-    rows = mixed.withColumn("pieces", block_texts(F.col("text"), block_words)).select("doc_id", "source", "ends", "pieces", F.explode("drawn").alias("x"))
-    rows = rows.select(F.size(F.filter("ends", lambda e: e < F.col("x.at"))).alias("shard"), keyed(SEED + "-order", F.col("doc_id"), F.col("x.at")).alias("order"), "doc_id", "source", F.col("x.block").alias("block"), F.expr("pieces[int(x.block)]").alias("text"))
+    mixed = _drawn_rows(docs.select("doc_id", "source", "text"), block_words, shards, weights)
+    rows = mixed.withColumn("pieces", block_texts(F.col("text"), block_words)).select("doc_id", "tag", "nth", "source", "ends", "pieces", F.explode("drawn").alias("x"))
+    rows = rows.select(F.size(F.filter("ends", lambda e: e < F.col("x.at"))).alias("shard"), keyed(SEED + "-order", F.col("doc_id"), F.col("tag"), F.col("nth"), F.col("x.at")).alias("order"), "doc_id", "source", F.col("x.block").alias("block"), F.expr("pieces[int(x.block)]").alias("text"))
     return rows.repartition("shard", F.shiftright("order", KEY_BITS - 6)).sortWithinPartitions("shard", "order")
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, weights: dict | None = None) -> DataFrame:
     """The mix as documents: a row for each pass that takes any of a document, its text cut to the blocks drawn.
 
-    A whole pass keeps the text as it is. All columns of docs stay; texts are not shuffled.
+    A whole pass keeps the text as it is. All columns of docs stay; only texts that have an exact copy are shuffled.
     """
-    sized = docs.withColumn("size", _size(F.col("text")))
-    mixed = _planned(sized, plan(sizes_of(docs), block_words, shards, weights), block_words)
-    rows = mixed.withColumn("pass", F.explode(F.array_distinct(F.col("drawn.pass"))))
+    rows = _drawn_rows(docs, block_words, shards, weights).withColumn("pass", F.explode(F.array_distinct(F.col("drawn.pass"))))
     own = F.filter("drawn", lambda x: x["pass"] == F.col("pass"))
     whole = F.size(own) == F.expr(f"(size + {block_words - 1}) div {block_words}")
     pieces = block_texts(F.col("text"), block_words)
     some = F.array_join(F.transform(F.array_sort(F.transform(own, lambda x: x["block"])), lambda b: F.element_at(pieces, (b + 1).cast("int"))), "")
-    return rows.withColumn("text", F.when(whole, F.col("text")).otherwise(some)).select(*docs.columns)
+    text = F.when(whole, F.col("text")).otherwise(some)
+    return rows.select(*[(text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

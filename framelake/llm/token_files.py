@@ -1,37 +1,42 @@
 """Token ids in binary files: patched frame-of-reference blocks with an index, in ascending id order.
 
 File format, all little-endian: the magic b"PFOR", then u32 version, block length, number of documents,
-number of ids and number of blocks; the documents' first positions (u64, one more than documents); the
-block index (u64 byte offset of each block, one more than blocks); then the blocks. A block is u32 minimum,
+number of ids and number of blocks; u64 number of ids in the range's earlier files; the documents' ids (i64) and a
+byte each that is 1 for a null id; the documents' first positions (u64, one more than documents); the block index
+(u64 byte offset of each block, one more than blocks); then the blocks. A block is u32 minimum,
 u8 width, u8 number of exceptions, the values less the minimum cut to `width` bits and packed lowest bit
 first, the exceptions' places (u8) and their bits above the width (u32). The width is the number of bits
 that holds the chosen percentile of the block's values, so what lies above it becomes an exception.
 
-Files are rows of a Parquet table in the shared folder (bucket, part, ids before it in the bucket, the ids
-of its documents, the file's bytes): any store that Spark writes will do, and a lost task is simply redone.
-Buckets are ranges of doc_id; a file holds at most `file_tokens` ids, or one document.
+Files are rows of a Parquet table in the shared folder (range, part, number of ids, the file's bytes): any store
+that Spark writes will do, and a lost task is simply redone. Texts are dealt once by ranges of doc_id and a hash
+of the text, so that null or repeated ids are spread too, and tokenised in order; a file holds at most
+`file_tokens` ids, or one document. A worker holds one file and one batch of texts.
 
-Null texts are empty (the end id alone); null ids sort first; repeated ids are ordered by their ids' bytes
+Null texts are empty (the end id alone); null ids sort first; repeated ids are ordered by their texts' hash
 and give a row each; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import bisect
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, texts_of, written
 from .wordbpe import id_cache, loaded
 
-MAGIC, VERSION, BLOCK = b"PFOR", 1, 128
+MAGIC, VERSION, BLOCK = b"PFOR", 2, 128
 PERCENTILE = 90
 FILE_TOKENS = 1 << 20
+#: Bytes of text that one range is meant to hold.
+RANGE_BYTES = 64 << 20
+_HEAD = struct.Struct("<4s5IQ")
 CACHE_WORDS = 900_000
 
 
@@ -39,7 +44,7 @@ def _bit_lengths(x: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(x.astype(np.float64) + 1)).astype(np.uint8)
 
 
-def encode_file(ids: np.ndarray, starts: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) -> bytes:
+def encode_file(ids: np.ndarray, starts: np.ndarray, doc_ids: list, before: int = 0, percentile: float = PERCENTILE, block: int = BLOCK) -> bytes:
     """The bytes of one file; starts has the position of each document's first id, and the number of ids."""
     n, blocks = len(ids), -(-len(ids) // block)
     full = np.empty(blocks * block, np.uint32)
@@ -75,25 +80,33 @@ def encode_file(ids: np.ndarray, starts: np.ndarray, percentile: float = PERCENT
     body[tail + nth] = col
     high = (delta[row, col] >> width[row]).astype("<u4").view(np.uint8).reshape(-1, 4)
     body[(tail + n_over[row] + 4 * nth)[:, None] + np.arange(4)] = high
-    return b"".join((MAGIC, struct.pack("<5I", VERSION, block, len(starts) - 1, n, blocks), np.asarray(starts, "<u8").tobytes(), at.astype("<u8").tobytes(), body.tobytes()))
+    names, null = np.array([d or 0 for d in doc_ids], "<i8"), np.array([d is None for d in doc_ids], np.uint8)
+    return b"".join((_HEAD.pack(MAGIC, VERSION, block, len(doc_ids), n, blocks, before), names.tobytes(), null.tobytes(), np.asarray(starts, "<u8").tobytes(), at.astype("<u8").tobytes(), body.tobytes()))
 
 
-def open_file(data: bytes) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
-    """Block length, number of ids, document starts, block index, block bytes."""
-    if data[:4] != MAGIC:
-        raise ValueError("not a token file")
-    version, block, docs, n, blocks = struct.unpack_from("<5I", data, 4)
-    if version != VERSION:
-        raise ValueError(f"unknown version {version}")
-    starts = np.frombuffer(data, "<u8", docs + 1, 24)
-    index = np.frombuffer(data, "<u8", blocks + 1, 24 + 8 * (docs + 1))
-    return block, n, starts, index, np.frombuffer(data, np.uint8, offset=24 + 8 * (docs + blocks + 2))
+class TokenFile:
+    """An opened file: block length, number of ids, ids before it, documents, their starts, block index, block bytes."""
+
+    def __init__(self, data: bytes):
+        if data[:4] != MAGIC:
+            raise ValueError("not a token file")
+        _, version, self.block, docs, self.n, blocks, self.before = _HEAD.unpack_from(data)
+        if version != VERSION:
+            raise ValueError(f"unknown version {version}")
+        at = _HEAD.size
+        names, null = np.frombuffer(data, "<i8", docs, at), np.frombuffer(data, np.uint8, docs, at + 8 * docs)
+        self.doc_ids = [None if x else int(d) for d, x in zip(names, null, strict=True)]
+        at += 9 * docs
+        self.starts = np.frombuffer(data, "<u8", docs + 1, at).astype(np.int64)
+        self.index = np.frombuffer(data, "<u8", blocks + 1, at + 8 * (docs + 1))
+        self.body = np.frombuffer(data, np.uint8, offset=at + 8 * (docs + blocks + 2))
 
 
 def read_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     """The ids at positions first to last - 1; only the blocks that hold them are unpacked."""
-    block, n, _, index, body = open_file(data)
-    last = n if last is None else min(last, n)
+    file = TokenFile(data)
+    block, index, body = file.block, file.index, file.body
+    last = file.n if last is None else min(last, file.n)
     if first >= last:
         return np.empty(0, np.uint32)
     b0, b1 = first // block, -(-last // block)
@@ -115,80 +128,60 @@ def read_ids(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray
     return (out + low[:, None]).ravel()[first - b0 * block : last - b0 * block]
 
 
-def _range_bounds(docs: DataFrame, id_col: str, buckets: int) -> list[int]:
-    """Upper ends of all ranges but the last, of ranges with about as many rows each, by a quantile sketch."""
-    if buckets < 2:
-        return []
-    return sorted({int(x) for x in docs.stat.approxQuantile(id_col, [i / buckets for i in range(1, buckets)], 0.2 / buckets)})
-
-
-def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, file_tokens: int = FILE_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
-    """The table of files: bucket, part, before (ids of the bucket in earlier files), n_tokens, ids, payload.
-
-    Texts are tokenised where they lie and only the ids are shuffled, once, to the range of their doc_id.
-    """
+def write_token_files(docs: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None, file_tokens: int = FILE_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """The table of files: range, part, n_tokens, payload."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    wanted = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _range_bounds(docs, "doc_id", wanted)
-    tail = np.array([end_id], "<u2" if end_id < 65_536 else "<u4").tobytes()
-
-    def encode(batches):
-        bpe = loaded(path)
-        wide = "<u2" if max(bpe.library.get_vocab_size(), end_id) < 65_536 else "<u4"
-        end = np.array([end_id], wide).tobytes()
-
-        cache = id_cache(path, wide, cache_words)
-        for batch in batches:
-            out = [x + end for x in cache.encode(texts_of(batch, "text"))]
-            bucket = [0 if d is None else bisect.bisect_left(bounds, d) for d in batch.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bucket, pa.int32()), pa.array(out, pa.binary())], ["doc_id", "bucket", "ids"])
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // RANGE_BYTES)
+    # one width for all that is written and read
+    wide = "<u2" if max(loaded(path).library.get_vocab_size(), end_id + 1) <= 65_536 else "<u4"
 
     def pack(batches):
-        wide = f"<u{len(tail)}"
-        bucket, part, before, ids, docs_, held = None, 0, 0, [], [], 0
+        cache, end = id_cache(path, wide, cache_words), np.array([end_id], wide).tobytes()
+        own, part, before, ids, names, held = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush():
-            nonlocal part, before, ids, docs_, held
+            nonlocal part, before, ids, names, held
             every = np.frombuffer(b"".join(ids), wide).astype(np.uint32)
-            starts = np.concatenate(([0], np.cumsum([len(x) // len(tail) for x in ids])))
-            row = pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "part": pa.array([part], pa.int32()), "before": pa.array([before], pa.int64()), "n_tokens": pa.array([len(every)], pa.int64()), "doc_ids": pa.array([docs_], pa.list_(pa.int64())), "payload": pa.array([encode_file(every, starts)], pa.binary())})
-            part, before, ids, docs_, held = part + 1, before + len(every), [], [], 0
+            starts = np.concatenate(([0], np.cumsum([len(x) // len(end) for x in ids])))
+            row = pa.RecordBatch.from_pydict({"range": pa.array([own], pa.int32()), "part": pa.array([part], pa.int32()), "n_tokens": pa.array([len(every)], pa.int64()), "payload": pa.array([encode_file(every, starts, names, before)], pa.binary())})
+            part, before, ids, names, held = part + 1, before + len(every), [], [], 0
             return row
 
         for batch in batches:
-            for doc, b, x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "ids")), strict=True):
-                if ids and (b != bucket or held + len(x) // len(tail) > file_tokens):
+            for doc, x in zip(batch.column("doc_id").to_pylist(), cache.encode(texts_of(batch, "text")), strict=True):
+                n = len(x) // len(end) + 1
+                if ids and held + n > file_tokens:
                     yield flush()
-                if b != bucket:
-                    bucket, part, before = b, 0, 0
-                ids.append(x)
-                docs_.append(doc)
-                held += len(x) // len(tail)
+                ids.append(x + end)
+                names.append(doc)
+                held += n
         if ids:
             yield flush()
 
-    coded = docs.mapInArrow(encode, "doc_id long, bucket int, ids binary")
-    placed = coded.repartitionById(len(bounds) + 1, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "ids")
-    return written(placed.mapInArrow(pack, "bucket int, part int, before long, n_tokens long, doc_ids array<long>, payload binary"), "tokens")
+    order = [F.col("doc_id").asc_nulls_first(), "tie"]
+    placed = docs.repartitionByRange(ranges, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    return written(placed.mapInArrow(pack, "range int, part int, n_tokens long, payload binary"), "tokens")
 
 
 def read_documents(files: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, decoded from the files.
 
-    Only the total of each bucket comes to the driver: as many numbers as there are ranges.
+    Only the total of each range comes to the driver: as many numbers as there are ranges.
     """
-    totals = sorted((r["bucket"], r["n"]) for r in files.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect())
+    totals = sorted((r["range"], r["n"]) for r in files.groupBy("range").agg(F.sum("n_tokens").alias("n")).collect())
     begin, so_far = {}, 0
     for b, n in totals:
         begin[b], so_far = so_far, so_far + n
 
     def decode(batches):
         for batch in batches:
-            for bucket, before, docs_, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "before", "doc_ids", "payload")), strict=True):
-                ids, starts = read_ids(data).astype("<u4"), open_file(data)[2].astype(np.int64)
+            for own, data in zip(batch.column("range").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                file, ids = TokenFile(data), read_ids(data).astype("<u4")
+                starts = file.starts
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(docs_, pa.int64()), "start": pa.array(starts[:-1] + begin[bucket] + before), "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(file.doc_ids, pa.int64()), "start": pa.array(starts[:-1] + begin[own] + file.before), "n_tokens": pa.array(np.diff(starts)), "ids_crc32": pa.array(crc, pa.int64())})
 
-    return files.select("bucket", "before", "doc_ids", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("range", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
