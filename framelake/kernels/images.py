@@ -136,3 +136,81 @@ def register_piecewise(frame: np.ndarray, template: np.ndarray, size: tuple[int,
     my, mx = bilinear(field[..., 0], gy, gx), bilinear(field[..., 1], gy, gx)
     py, px = np.meshgrid(np.arange(frame.shape[0]), np.arange(frame.shape[1]), indexing="ij")
     return bilinear(frame, py - my, px - mx), field
+
+
+def patch_grid(n: int, blocks: int, overlap: int) -> tuple[list[int], int]:
+    """Starts of overlapping patches along an axis, and their length: evenly spread, each `overlap` longer than its stride."""
+    if n < overlap or -(-(n - overlap) // blocks) < overlap:
+        raise ValueError("patches overlap more than they are apart")
+    starts = [int(i * (n - overlap) / blocks) for i in range(blocks)]
+    return starts, n - overlap - starts[-1] + overlap
+
+
+def patches(frame: np.ndarray, ys: list[int], xs: list[int], size: tuple[int, int]) -> np.ndarray:
+    """Overlapping patches (rows, columns, h, w) of a frame."""
+    return np.lib.stride_tricks.sliding_window_view(frame, size)[np.ix_(ys, xs)]
+
+
+def scattered(parts: np.ndarray, ys: list[int], xs: list[int], shape: tuple[int, int]) -> np.ndarray:
+    """Patches (rows, columns, h, w) added up where they lie in a frame."""
+    out = np.zeros(shape)
+    for i, y in enumerate(ys):
+        for j, x in enumerate(xs):
+            out[y : y + parts.shape[2], x : x + parts.shape[3]] += parts[i, j]
+    return out
+
+
+def patch_centres(ys: list[int], xs: list[int], size: tuple[int, int]) -> np.ndarray:
+    """Middles (rows, columns, 2) of patches."""
+    return np.stack(np.meshgrid(np.array(ys) + (size[0] - 1) / 2, np.array(xs) + (size[1] - 1) / 2, indexing="ij"), axis=-1)
+
+
+def _cubic(t: np.ndarray, a: float = -0.75) -> np.ndarray:
+    """Weights of the four neighbours of a place t between the middle two."""
+    far, near = lambda d: a * (d**3 - 5 * d**2 + 8 * d - 4), lambda d: (a + 2) * d**3 - (a + 3) * d**2 + 1
+    return np.stack((far(1 + t), near(t), near(1 - t), far(2 - t)))
+
+
+def bicubic(image: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Values at fractional places by cubic convolution; places and neighbours are held to the border."""
+    ys, xs = np.clip(ys, 0, image.shape[0] - 1), np.clip(xs, 0, image.shape[1] - 1)
+    y0, x0 = np.floor(ys).astype(int), np.floor(xs).astype(int)
+    wy, wx = _cubic(ys - y0), _cubic(xs - x0)
+    out = np.zeros(np.shape(ys))
+    for i in range(4):
+        for j in range(4):
+            out += wy[i] * wx[j] * image[np.clip(y0 + i - 1, 0, image.shape[0] - 1), np.clip(x0 + j - 1, 0, image.shape[1] - 1)]
+    return out
+
+
+def upsampled_field(field: np.ndarray, shape: tuple[int, int], cubic: bool = False) -> np.ndarray:
+    """A coarse field (rows, columns, 2) at every pixel, corners on corners."""
+    at = lambda n, k: np.linspace(0, k - 1, n) if k > 1 else np.zeros(n)
+    gy, gx = np.meshgrid(at(shape[0], field.shape[0]), at(shape[1], field.shape[1]), indexing="ij")
+    sample = bicubic if cubic else bilinear
+    return np.stack([sample(field[..., k], gy, gx) for k in range(2)], axis=-1)
+
+
+def warped(frame: np.ndarray, field: np.ndarray, cubic: bool = False) -> np.ndarray:
+    """A frame moved by a field of shifts (h, w, 2); places beyond the border take its values."""
+    py, px = np.meshgrid(np.arange(frame.shape[0]), np.arange(frame.shape[1]), indexing="ij")
+    return (bicubic if cubic else bilinear)(frame, py - field[..., 0], px - field[..., 1])
+
+
+def register_patches(frame: np.ndarray, template: np.ndarray, blocks: tuple[int, int], overlap: tuple[int, int], max_shifts: tuple[int, int], deviation: tuple[int, int], target: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A grid of patches registered within `deviation` of the rigid shift; their field, upsampled, warps the frame (or a target)."""
+    dy, dx = estimate_shift(frame, template, max_shifts)
+    moved = shift_frame(frame, dy, dx)
+    (ys, h), (xs, w) = patch_grid(frame.shape[0], blocks[0], overlap[0]), patch_grid(frame.shape[1], blocks[1], overlap[1])
+    own, theirs = patches(moved, ys, xs, (h, w)), patches(template, ys, xs, (h, w))
+    field = np.array([[(dy, dx) + np.array(estimate_shift(own[i, j], theirs[i, j], deviation)) for j in range(len(xs))] for i in range(len(ys))])
+    return warped(frame if target is None else target, upsampled_field(field, frame.shape)), field
+
+
+def gradients(image: np.ndarray) -> np.ndarray:
+    """Central differences of an image along x and y (pixels, 2), zero at the edges, each made orthogonal to the image."""
+    gx, gy = np.zeros(image.shape), np.zeros(image.shape)
+    gx[:, 1:-1], gy[1:-1] = (image[:, 2:] - image[:, :-2]) / 2, (image[2:] - image[:-2]) / 2
+    f = image.ravel()
+    both = np.stack((gx.ravel(), gy.ravel()), axis=1)
+    return both - np.outer(f, f @ both / (f @ f))

@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the cluster's checkpoint folder, or in a temporary one where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="framelake-"))
-    return df.checkpoint()
+    """df written once to the shared folder and read again; where one machine is all there is, that may be unset.
+
+    A table is written in one pass, where checkpoint() would work it out twice. It goes when the driver ends.
+    """
+    spark = df.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="framelake-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    path = f"{place.rstrip('/')}/rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -143,13 +143,15 @@ def failure_cut(decisions: DataFrame, limit: int, key: str = "block", order: str
     return hit.where(F.coalesce("hits", F.lit(0)) == 0).drop("bad", "hits")
 
 
-def neighbour_correlation(movie: DataFrame, norms: Column | None = None, noise: float = 0.0, population: bool = False) -> DataFrame:
+def neighbour_correlation(movie: DataFrame, norms: DataFrame | None = None, noise: float = 0.0) -> DataFrame:
     """Mean correlation of each pixel with its neighbours, over frames that both have.
 
-    Norms are over all frames a pixel has. Only four directions are joined; each pair counts for both ends.
+    Norms are over all frames a pixel has, plus its frames times noise^2, or given (y, x, n2). Only four directions are
+    joined; each pair counts for both ends.
     """
     centred = movie.withColumn("d", F.col("v") - F.avg("v").over(Window.partitionBy(*PIXEL)))
-    norm = centred.groupBy(*PIXEL).agg((F.sum(F.col("d") * F.col("d")) + F.lit(noise)).alias("n2"))
+    frames = movie.agg(F.countDistinct("frame")).first()[0] if noise else 0
+    norm = norms if norms is not None else centred.groupBy(*PIXEL).agg((F.sum(F.col("d") * F.col("d")) + F.lit(frames * noise * noise)).alias("n2"))
     near = at_offsets(centred.select("frame", *PIXEL, F.col("d").alias("e")), HALF)
     pair = near.join(centred.select("frame", *PIXEL, "d"), ["frame", *PIXEL]).groupBy(*PIXEL, "dy", "dx").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
     other = norm.select((F.col("y")).alias("oy"), F.col("x").alias("ox"), F.col("n2").alias("m2"))
@@ -159,6 +161,39 @@ def neighbour_correlation(movie: DataFrame, norms: Column | None = None, noise:
     return ends.groupBy(*PIXEL).agg(F.avg("c").alias("corr"))
 
 
+def squared_norms(movie: DataFrame) -> DataFrame:
+    """y, x, n2: sum of squares around each pixel's mean."""
+    return movie.groupBy(*PIXEL).agg((F.var_pop("v") * F.count("v")).alias("n2"))
+
+
+def _three(raw: DataFrame, compressed: DataFrame, image) -> DataFrame:
+    """y, x, raw, pmd, residual: an image of the raw movie, of the compressed one, and of their difference."""
+    both = raw.join(compressed.withColumnRenamed("v", "w"), ["frame", *PIXEL])
+    residual = both.select("frame", *PIXEL, (F.col("v") - F.col("w")).alias("v"))
+    out = image(raw).withColumnsRenamed({"value": "raw"})
+    for name, movie in (("pmd", compressed), ("residual", residual)):
+        out = out.join(image(movie).withColumnsRenamed({"value": name}), PIXEL)
+    return out
+
+
+def three_correlations(raw: DataFrame, compressed: DataFrame) -> DataFrame:
+    """Neighbour correlations of raw, compressed and residual movie, all over the raw movie's norms."""
+    norms = squared_norms(raw)
+    return _three(raw, compressed, lambda m: neighbour_correlation(m, norms).withColumnRenamed("corr", "value"))
+
+
+def three_lag1(raw: DataFrame, compressed: DataFrame) -> DataFrame:
+    """Lag-1 autocovariances of the three, all over the raw movie's squared norms (under 1e-6 counts as 1)."""
+    low = squared_norms(raw).select(*PIXEL, F.when(F.sqrt("n2") < 1e-6, 1.0).otherwise(F.col("n2")).alias("low"))
+
+    def image(movie):
+        w = Window.partitionBy(*PIXEL)
+        d = movie.withColumn("d", F.col("v") - F.avg("v").over(w)).withColumn("p", F.lag("d").over(w.orderBy("frame")))
+        return d.groupBy(*PIXEL).agg(F.coalesce(F.sum(F.col("d") * F.col("p")), F.lit(0.0)).alias("top")).join(low, PIXEL).select(*PIXEL, (F.col("top") / F.col("low")).alias("value"))
+
+    return _three(raw, compressed, image)
+
+
 def lag1_image(movie: DataFrame, centred: bool = True) -> DataFrame:
     """Lag-1 autocovariance over the squared norm (under 1e-6 counts as 1), or the mean lag-1 product."""
     w = Window.partitionBy(*PIXEL)
