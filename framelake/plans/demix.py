@@ -195,7 +195,8 @@ def merged(a: DataFrame, c: DataFrame, groups: DataFrame, rounds: int = 5) -> tu
     if moved.isEmpty():
         return a, c
     rows = a.join(moved, "comp").select("label", "comp", "pixel", "value")
-    traces = c.join(moved, "comp").groupBy("label", "comp").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("t"))
+    named = moved.select("comp", F.col("label").alias("name"))
+    traces = c.join(named, "comp").groupBy("name", "comp").agg(F.array_sort(F.collect_list(F.struct("frame", "value"))).alias("t"))
 
     def fit(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = sorted(right["comp"])
@@ -208,7 +209,7 @@ def merged(a: DataFrame, c: DataFrame, groups: DataFrame, rounds: int = 5) -> tu
         return pd.DataFrame({"label": key[0], "pixels": [pixels.tolist()], "weights": [p.tolist()], "frames": [frames], "trace": [q.tolist()]})
 
     # one row a component on the right and its pixels on the left; a group is a few neighbouring components
-    made = rows.groupBy("label").cogroup(traces.groupBy("label")).applyInPandas(fit, "label long, pixels array<long>, weights array<double>, frames array<long>, trace array<double>")
+    made = rows.groupBy("label").cogroup(traces.groupBy("name")).applyInPandas(fit, "label long, pixels array<long>, weights array<double>, frames array<long>, trace array<double>")
     made = graph.checkpointed(made.withColumn("label", F.col("label").cast(a.schema["comp"].dataType)))
     new_a = made.select(F.col("label").alias("comp"), F.explode(F.arrays_zip("pixels", "weights")).alias("z")).select(F.col("z.pixels").alias("pixel"), "comp", F.col("z.weights").alias("value")).where("value <> 0")
     new_c = made.select(F.col("label").alias("comp"), F.explode(F.arrays_zip("frames", "trace")).alias("z")).select("comp", F.col("z.frames").alias("frame"), F.col("z.trace").alias("value"))
