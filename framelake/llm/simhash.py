@@ -8,9 +8,10 @@ become components, and a component is named by its smallest doc_id.
 
 Equal fingerprints are one before any of this, so copies cost nothing. In a variant, only pairs that differ
 in the wildcard bit are compared, or (in the first variant of a segment) those with the same segment; a
-variant gives at most one link for each member, never all pairs. One with too many pairs to compare is split
-by the four bytes of the other segment, of which one must be equal among linked members; the parts are
-compared block by block without any limit, so no link is lost.
+variant gives at most one link for each member, never all pairs. One with too many pairs to compare, or too many
+members to hold, is split by the same rule once more: of the two 16-bit halves of the other segment one differs in
+at most one bit, so members meet in the one-wildcard variants of its halves. Such a part has at most 2^18 different
+fingerprints (two values of the first wildcard, two of the second, 2^16 of the other half), so it is held whole.
 
 Null and word-less texts have fingerprint zero, linked like any other; repeated rows are in one component;
 null ids are never a component's name unless all its ids are null; an empty table gives no rows; other
@@ -167,7 +168,8 @@ def links(fps: DataFrame) -> DataFrame:
     first = written(dealt.repartition("variant").sortWithinPartitions("variant").mapInArrow(_group_links(False), found), "links")
     heavy = first.where("b is null").select(F.col("a").alias("fp"), "variant", "wildcard")
     other = F.when(F.col("wildcard") < 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp"))
-    parts = F.array(*[F.xxhash64("variant", F.lit(j), F.shiftrightunsigned(other, 8 * j).bitwiseAND(F.lit(0xFF))) for j in range(4)])
+    half = lambda i: F.shiftrightunsigned("other", 16 * (i >= 16)).bitwiseAND(F.lit(0xFFFF ^ (1 << i % 16)))
+    parts = F.array(*[F.xxhash64("variant", F.lit(i), half(i)) for i in range(32)])
     split = heavy.withColumn("other", other).select("fp", "wildcard", F.explode(parts).alias("variant"))
     second = split.repartition("variant").sortWithinPartitions("variant", "wildcard").mapInArrow(_group_links(True), found)
     return first.where("b is not null").select("a", "b").union(second.select("a", "b"))
@@ -198,12 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash."""
-    tagged = docs.withColumn("__tag", F.xxhash64("text"))
-    marked = written(fingerprints(tagged.select("doc_id", "text", "__tag"), keep=("doc_id", "__tag")), "marked")
-    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("__tag").alias("tag"))
-    chosen = marked.join(_rooted(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min(row).alias("x")).select("x.id", "x.tag")
-    kept = tagged.join(chosen, tagged["doc_id"].eqNullSafe(chosen["id"]) & (tagged["__tag"] == chosen["tag"]), "left_semi")
+    """docs with one row of each component: that of the smallest doc_id (null last), then of the smallest text hash.
+
+    Null and word-less texts are one component (fingerprint zero); of rows alike in id and text one stays; different
+    texts with a null or the same id are told apart; no rows give none; other columns stay, whatever their names.
+    """
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("tag"))
+    marked = written(fingerprints(docs.select("doc_id", "text", F.xxhash64("text").alias("tag")), keep=("doc_id", "tag")), "marked")
+    row = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))
+    chosen = marked.join(_rooted(marked).select("fp", "root"), "fp").groupBy("root").agg(F.min(row).alias("x")).select("x.id", F.col("x.tag").alias("t"))
+    kept = tagged.join(chosen, tagged["doc_id"].eqNullSafe(chosen["id"]) & (tagged["tag"] == chosen["t"]), "left_semi")
     # rows alike in id and text are one; the null-safe join's own keys, so that the texts are shuffled once for both
-    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "__tag").orderBy("__tag")
-    return kept.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns)
+    first = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "tag").orderBy("tag")
+    return kept.withColumn("nth", F.row_number().over(first)).where("nth = 1").select("row.*")
