@@ -12,9 +12,13 @@ its surrogate, so that all its spellings in all documents are replaced alike, ea
   family name's surrogate follows from the family name (the last part) alone, so that a person with and without
   given name agree; in the same document, the name without a form of address is replaced as well (not counted).
 
-Those of mail, family names and given names can collide. All different entities are gathered once, surrogates that two of them share are
-found, and all but the first of such a group are made anew, until none is shared. The few remade ones are
-joined to the documents that hold them; all other documents are rewritten where they lie.
+Those of mail, family names and given names can collide. All different entities are gathered once; surrogates that
+two of them share, or that are a real mail address or family name, are found, and all but the first of such a group
+(the real ones: all) are made anew, until there are none. The few remade ones are joined to the documents that hold
+them; all other documents are rewritten where they lie. Numbers are one-to-one by construction; one may be another's.
+
+The key is an argument without a default: it is a secret, as the map of numbers can be undone with it. Any run of 13
+to 19 digits is treated as a card, whether or not its check sum holds, as long numbers of other kinds identify too.
 
 Null texts stay null, with no entities; repeated rows are rewritten alike; empty tables give no rows; other
 columns are not read. Texts without entities stay as they are.
@@ -29,7 +33,6 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-KEY = "surrogate"
 ROUNDS = 4
 _EDGE, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -58,25 +61,25 @@ GIVEN = {
 SYLLABLES = {"latin": "ba be di do fa fe ga ko la le ma mi na ro sa ta", "cyrillic": "ба бе ди до фа фе га ко ла ле ма ми на ро са та"}
 
 
-def _hash(*parts: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(KEY), *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
+def _hash(key: str, *parts: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def _feistel(left: Column, right: Column, m: Column, n: Column, tag: Column) -> tuple[Column, Column]:
+def _feistel(key: str, left: Column, right: Column, m: Column, n: Column, tag: Column) -> tuple[Column, Column]:
     for r in range(ROUNDS):
         if r % 2:
-            right = F.pmod(right + F.pmod(_hash(tag, F.lit(r), left), n), n)
+            right = F.pmod(right + F.pmod(_hash(key, tag, F.lit(r), left), n), n)
         else:
-            left = F.pmod(left + F.pmod(_hash(tag, F.lit(r), right), m), m)
+            left = F.pmod(left + F.pmod(_hash(key, tag, F.lit(r), right), m), m)
     return left, right
 
 
-def _number(digits: Column, kind: Column) -> Column:
+def _number(key: str, digits: Column, kind: Column) -> Column:
     """A one-to-one, keyed map of the digit strings of each length and kind."""
     n = F.length(digits)
     half = F.floor(n / 2).cast("int")
     ten = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    left, right = _feistel(F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, n - half).cast("long"), ten(half), ten(n - half), F.concat(kind, n.cast("string")))
+    left, right = _feistel(key, F.substring(digits, F.lit(1), half).cast("long"), F.substring(digits, half + 1, n - half).cast("long"), ten(half), ten(n - half), F.concat(kind, n.cast("string")))
     return F.concat(F.lpad(left.cast("string"), half, "0"), F.lpad(right.cast("string"), n - half, "0"))
 
 
@@ -87,30 +90,30 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(each, F.lit(0), lambda a, b: a + b), F.lit(10))
 
 
-def _card(digits: Column) -> Column:
+def _card(key: str, digits: Column) -> Column:
     """Keyed but for the last digit, which keeps the check sum what it was."""
-    head = _number(F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("card"))
+    head = _number(key, F.substring(digits, F.lit(1), F.length(digits) - 1), F.lit("card"))
     return F.concat(head, F.pmod(_luhn(digits) - _luhn(F.concat(head, F.lit("0"))), F.lit(10)).cast("string"))
 
 
-def _ip(text: Column) -> Column:
+def _ip(key: str, text: Column) -> Column:
     o = F.transform(F.split(text, r"\."), lambda x: x.cast("long"))
-    a, b = _feistel(o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("ip"))
+    a, b = _feistel(key, o[0] * 256 + o[1], o[2] * 256 + o[3], F.lit(65536), F.lit(65536), F.lit("ip"))
     return F.concat_ws(".", *[x.cast("string") for x in (F.shiftright(a, 8), a.bitwiseAND(F.lit(255)), F.shiftright(b, 8), b.bitwiseAND(F.lit(255)))])
 
 
-def _letters(seed: Column, like: Column) -> Column:
+def _letters(key: str, seed: Column, like: Column) -> Column:
     """Keyed letters and digits in the layout of `like`: letters for letters, digits for digits, the rest as it is."""
-    stream = F.concat(F.md5(F.concat_ws("|", F.lit(KEY), seed, F.lit("0"))), F.md5(F.concat_ws("|", F.lit(KEY), seed, F.lit("1"))))
+    stream = F.concat(F.md5(F.concat_ws("|", F.lit(key), seed, F.lit("0"))), F.md5(F.concat_ws("|", F.lit(key), seed, F.lit("1"))))
     chars = F.split(like, "")
     at = lambda i: F.conv(F.substring(stream, F.pmod(i * 2, F.lit(62)) + 1, F.lit(2)), 16, 10).cast("int")
     return F.concat_ws("", F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{N}"), F.pmod(at(i), F.lit(10)).cast("string")).when(c.rlike(r"\p{L}"), F.char(97 + F.pmod(at(i), F.lit(26)))).otherwise(c)))
 
 
-def _mail(mail: Column, attempt: Column) -> Column:
+def _mail(key: str, mail: Column, attempt: Column) -> Column:
     user, domain = F.substring_index(mail, "@", 1), F.substring_index(mail, "@", -1)
     # short users get more letters, so that there are enough of them to tell all addresses apart
-    return F.concat(_letters(F.concat_ws("|", mail, attempt), F.concat(F.lit("aaaaaa"), user)), F.lit("@"), _letters(F.concat(F.lit("domain|"), domain), F.regexp_replace(F.substring_index(domain, ".", 1), r".*", "aaaaaaaa")), F.lit(".example"))
+    return F.concat(_letters(key, F.concat_ws("|", mail, attempt), F.concat(F.lit("aaaaaa"), user)), F.lit("@"), _letters(key, F.concat(F.lit("domain|"), domain), F.regexp_replace(F.substring_index(domain, ".", 1), r".*", "aaaaaaaa")), F.lit(".example"))
 
 
 def _syllables(script: Column, h, n: int) -> Column:
@@ -121,15 +124,15 @@ def _syllables(script: Column, h, n: int) -> Column:
     return made
 
 
-def _family(name: Column, attempt: Column) -> Column:
+def _family(key: str, name: Column, attempt: Column) -> Column:
     """canonical is script|family name."""
-    return _syllables(F.split(name, r"\|")[0], lambda i: F.pmod(_hash(name, attempt, F.lit(i)), F.lit(16)).cast("int"), 6)
+    return _syllables(F.split(name, r"\|")[0], lambda i: F.pmod(_hash(key, name, attempt, F.lit(i)), F.lit(16)).cast("int"), 6)
 
 
-def _given(name: Column, attempt: Column) -> Column:
+def _given(key: str, name: Column, attempt: Column) -> Column:
     """canonical is gender|script|given names; a remade one has a second part, so that there are enough of them."""
     gender, script = F.split(name, r"\|")[0], F.split(name, r"\|")[1]
-    h = lambda i: F.pmod(_hash(name, attempt, F.lit(i)), F.lit(16)).cast("int")
+    h = lambda i: F.pmod(_hash(key, name, attempt, F.lit(i)), F.lit(16)).cast("int")
     given = F.lit(None).cast("string")
     for (g, s), names in GIVEN.items():
         given = F.coalesce(given, F.when((gender == g) & (script == s), F.array(*map(F.lit, names.split()))[h(0)]))
@@ -162,13 +165,13 @@ def _typed(e: Column) -> Column:
     )
 
 
-def _surrogate(kind: Column, canonical: Column, attempt: Column) -> Column:
+def _surrogate(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
     """The canonical form of an entity's surrogate."""
-    return F.when(kind == "mail", _mail(canonical, attempt)).when(kind == "ip", _ip(canonical)).when(kind == "card", _card(canonical)).when(kind == "name", _family(canonical, attempt)).when(kind == "given", _given(canonical, attempt)).otherwise(_number(canonical, kind))
+    return F.when(kind == "mail", _mail(key, canonical, attempt)).when(kind == "ip", _ip(key, canonical)).when(kind == "card", _card(key, canonical)).when(kind == "name", _family(key, canonical, attempt)).when(kind == "given", _given(key, canonical, attempt)).otherwise(_number(key, canonical, kind))
 
 
-def _surrogates(entities: DataFrame) -> DataFrame:
-    return entities.withColumn("surrogate", _surrogate(F.col("kind"), F.col("canonical"), F.col("attempt")))
+def _surrogates(key: str, entities: DataFrame) -> DataFrame:
+    return entities.withColumn("surrogate", _surrogate(key, F.col("kind"), F.col("canonical"), F.col("attempt")))
 
 
 def _laid_out(e: Column, kind: Column, surrogate: Column) -> Column:
@@ -193,21 +196,42 @@ def entities_of(text: Column) -> Column:
     return F.transform(found, lambda e: F.struct(e.alias("e"), _typed(e).alias("t")))
 
 
-def collisions(entities: DataFrame) -> DataFrame | None:
-    """kind, canonical and surrogate of the entities whose first surrogate another entity has too; None if there are none.
+def _gendered(entities: Column) -> Column:
+    """Given names after a form of address for either gender take the gender that the document tells elsewhere.
+
+    So Mr. John Smith and Dr. John Smith of one document are one person; of two genders the first by name counts.
+    """
+    told = F.array_sort(F.array_distinct(F.transform(F.filter(entities, lambda x: x["t"]["given"].rlike("^[mf]")), lambda x: F.concat_ws("|", F.substring(x["t"]["given"], 3, 1 << 20), F.lit(""), x["t"]["canonical"], F.lit(""), x["t"]["given"]))))
+    who = lambda t: F.concat_ws("|", F.substring(t["given"], 3, 1 << 20), F.lit(""), t["canonical"], F.lit(""))
+    same = lambda t: F.try_element_at(F.filter(told, lambda y: y.startswith(F.concat(who(t), F.lit("|")))), F.lit(1))
+    given = lambda t: F.when(t["given"].startswith("x|"), F.coalesce(F.substring_index(same(t), "||", -1), t["given"])).otherwise(t["given"])
+    return F.transform(entities, lambda x: F.struct(x["e"].alias("e"), F.struct(x["t"]["kind"].alias("kind"), x["t"]["canonical"].alias("canonical"), given(x["t"]).alias("given")).alias("t")))
+
+
+def _real(kind: Column, surrogate: Column) -> Column:
+    """What the surrogate would be as an entity's canonical form, to find it among the real ones."""
+    script = F.when(surrogate.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    return F.when(kind == "name", F.concat_ws("|", script, F.lower(surrogate))).otherwise(F.lower(surrogate))
+
+
+def collisions(entities: DataFrame, key: str) -> DataFrame | None:
+    """kind, canonical and surrogate of the entities whose first surrogate is another's too, or is a real entity; None if there are none.
 
     entities (kind, canonical) are different and should be a written table.
     """
     fixed, attempt = None, 0
-    now = _surrogates(entities.where("kind in ('mail', 'name', 'given')").withColumn("attempt", F.lit(0)))
+    real = entities.where("kind in ('mail', 'name')").select("kind", F.col("canonical").alias("real"))
+    now = _surrogates(key, entities.where("kind in ('mail', 'name', 'given')").withColumn("attempt", F.lit(0)))
     first = now
     while True:
         least = now.groupBy("kind", "surrogate").agg(F.min("canonical").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("kind", "surrogate", "keeper")
-        again = written(now.join(least, ["kind", "surrogate"]).where("canonical <> keeper").select("kind", "canonical"), "again")
+        shared = now.join(least, ["kind", "surrogate"]).where("canonical <> keeper").select("kind", "canonical")
+        taken = now.withColumn("real", _real(F.col("kind"), F.col("surrogate"))).join(real, ["kind", "real"], "left_semi").select("kind", "canonical")
+        again = written(shared.union(taken).distinct(), "again")
         if again.isEmpty():
             return fixed
         attempt += 1
-        made = _surrogates(again.withColumn("attempt", F.lit(attempt)))
+        made = _surrogates(key, again.withColumn("attempt", F.lit(attempt)))
         kept = fixed.join(again, ["kind", "canonical"], "left_anti") if fixed is not None else None
         fixed = written(made.drop("attempt") if kept is None else kept.unionByName(made.drop("attempt")), "remade")
         now = first.join(fixed.select("kind", "canonical"), ["kind", "canonical"], "left_anti").select("kind", "canonical", "surrogate").unionByName(fixed.select("kind", "canonical", "surrogate"))
@@ -219,26 +243,30 @@ def _keys(x: Column) -> Column:
     return F.array(F.struct(t["kind"].alias("kind"), t["canonical"].alias("canonical")), F.struct(F.lit("given").alias("kind"), t["given"].alias("canonical")))
 
 
-def with_surrogates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_entities and the text with each entity replaced."""
+def with_surrogates(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_entities and the text with each entity replaced; who has the key can undo the numbers' surrogates."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     # a generated column is worked out once a row, where a projected one is once for each of its uses
     listed = docs.select("doc_id", "text", F.explode_outer(F.array(entities_of(F.col("text")))).alias("entities"))
+    doubtful = F.exists("entities", lambda x: x["t"]["given"].startswith("x|")) & F.exists("entities", lambda x: x["t"]["given"].rlike("^[mf]"))
+    listed = listed.withColumn("entities", F.when(doubtful, _gendered(F.col("entities"))).otherwise(F.col("entities")))
     some = listed.where("size(entities) > 0").select("doc_id", F.xxhash64("text").alias("tag"), F.explode(F.flatten(F.transform("entities", _keys))).alias("t")).where("t.canonical is not null").select("doc_id", "tag", "t.kind", "t.canonical").distinct()
     some = written(some, "entities")
-    fixed = collisions(written(some.select("kind", "canonical").distinct(), "distinct-entities"))
+    fixed = collisions(written(some.select("kind", "canonical").distinct(), "distinct-entities"), key)
     if fixed is None:
         listed = listed.withColumn("remade", F.lit(None).cast("map<string,string>"))
     else:
         mine = some.join(fixed, ["kind", "canonical"]).groupBy("doc_id", "tag").agg(F.map_from_entries(F.collect_list(F.struct("canonical", "surrogate"))).alias("remade")).withColumnRenamed("doc_id", "id")
         listed = listed.withColumn("tag0", F.xxhash64("text")).join(mine, F.expr("doc_id <=> id and tag0 = tag"), "left").drop("id", "tag", "tag0")
     gaps = F.when(F.size("entities") > 0, F.split("text", ANY, -1))
-    rewritten = _rewritten(listed, gaps)
+    rewritten = _rewritten(key, listed, gaps)
     return rewritten.select(F.col("doc_id").alias(id_col), F.size("entities").alias("n_entities"), F.col("new_text").alias(text_col))
 
 
-def _rewritten(listed: DataFrame, gaps: Column) -> DataFrame:
-    made = lambda kind, canonical: F.coalesce(F.element_at("remade", canonical), _surrogate(kind, canonical, F.lit(0)))
+def _rewritten(key: str, listed: DataFrame, gaps: Column) -> DataFrame:
+    made = lambda kind, canonical: F.coalesce(F.element_at("remade", canonical), _surrogate(key, kind, canonical, F.lit(0)))
     own = F.transform("entities", lambda x: F.struct(x["e"].alias("e"), x["t"]["kind"].alias("kind"), made(x["t"]["kind"], x["t"]["canonical"]).alias("surrogate"), F.when(x["t"]["given"].isNotNull(), made(F.lit("given"), x["t"]["given"])).alias("given")))
     # generated, as in with_surrogates, to be worked out once a row
     listed = listed.select("*", F.explode_outer(F.array(own)).alias("own"))

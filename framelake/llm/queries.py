@@ -11,6 +11,8 @@ from .common import table
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 END_ID = 2
+#: Where a session names its secret key of surrogates, and a public one for the synthetic tables.
+KEY_SETTING, PUBLIC_KEY = "spark.framelake.surrogate.key", "public key for synthetic tables"
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.with_surrogates(table(spark, sf_dir, "documents"))
+    return pii.with_surrogates(table(spark, sf_dir, "documents"), spark.conf.get(KEY_SETTING, PUBLIC_KEY))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
