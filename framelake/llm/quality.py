@@ -7,8 +7,9 @@ base rules and its score reaches a threshold, found on labelled documents that t
 best balanced accuracy among thresholds that keep at least `keep` of those of quality 1.
 
 Labels are used up to `sample` rows, those with the smallest keyed hash: half for the target, half for the
-threshold. Corpus counts cover every document. What comes to the driver is a fixed number of bucket counts
-and at most `sample` scores.
+threshold. A document labelled twice is trusted only if all its labels say so, and only trusted ones are good ones
+to the threshold too. Corpus counts cover every document. What comes to the driver is a fixed number of bucket
+counts and at most `sample` scores.
 
 Null texts have no words and so fail the base rules; an empty table gives no rows; with no labels every
 document that passes the base rules is kept; repeated ids count and are judged row by row; labels with null
@@ -105,9 +106,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     bounded_batches(spark)
     key = keyed("quality", F.col("doc_id"))
-    known = labels.select(F.col(id_col).alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null").select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"), key.alias("key"))
-    known = known.orderBy("key", "doc_id").limit(sample).withColumn("held", F.col("key") % 2 == 1)
-    rows = [(r["doc_id"], 0 if r["held"] else 1, r["quality"]) for r in known.dropDuplicates(["doc_id"]).collect() if r["held"] or (r["quality"] == 1 and r["toxic"] == 0)]
+    trusted = F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int"))
+    known = labels.select(F.col(id_col).alias("doc_id"), "quality", "toxic").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(trusted.alias("trusted"))
+    known = known.withColumn("key", key).orderBy("key", "doc_id").limit(sample).withColumn("held", F.col("key") % 2 == 1)
+    rows = [(r["doc_id"], 0 if r["held"] else 1, r["trusted"]) for r in known.collect() if r["held"] or r["trusted"]]
     use = spark.createDataFrame(rows, "doc_id long, target int, quality int")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
