@@ -22,39 +22,26 @@ def test_stages(spark):
 
 
 def test_stages_against_brute_force(spark):
-    """Near-dedup by all pairs of fingerprints, decontamination by all windows, the mix by its words, shards by their table."""
+    """Near-dedup by all pairs of texts, decontamination by all windows, the mix by its words, shards by their table."""
     import hashlib
-    import itertools
 
     from framelake.llm import mixing, sharding
-    from test_text_operators import WORD, brute_fingerprint, brute_leaks
+    from test_near_text import survivors
+    from test_text_operators import WORD, brute_leaks
 
     docs = table(spark, DIR, "documents")
     rows = docs.collect()
-    fps = {r["doc_id"]: brute_fingerprint(r["text"]) for r in rows}
-    names = dict(zip(fps, fps, strict=True))
-
-    def name(x):
-        while names[x] != x:
-            x = names[x]
-        return x
-
-    names = {d: d for d in fps}
-    for a, b in itertools.combinations(sorted(fps), 2):
-        if (fps[a] ^ fps[b]).bit_count() <= 3:
-            x, y = sorted((name(a), name(b)))
-            names[y] = x
     kept = corpus_pipeline.near_dedup(spark, docs, DIR)
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d in names if names[d] == d)
+    assert sorted(r["doc_id"] for r in kept.collect()) == survivors([(r["doc_id"], r["text"]) for r in rows])
 
     items = [(r["item_id"], r["text"]) for r in table(spark, DIR, "benchmark").collect()]
     shared = {" ".join(w[i : i + 5]) for _, t in items for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 4)}
     near = [(r["doc_id"], r["text"]) for r in rows if r["text"] and any(" ".join(w[i : i + 5]) in shared for w in [re.findall(r"[^\W_]+", r["text"].lower())] for i in range(len(w) - 4))]
     bad = {d for d, _ in brute_leaks(near, items)}
-    assert bad and {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, DIR).collect()} == set(fps) - bad
+    assert bad and {r["doc_id"] for r in corpus_pipeline.decontaminate(spark, docs, DIR).collect()} == {r["doc_id"] for r in rows} - bad
 
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix_report(docs).collect()}
-    words = dict.fromkeys(fps, 0)
+    words = dict.fromkeys(taken, 0)
     for r in corpus_pipeline.mix_sources(spark, docs, DIR).collect():
         words[r["doc_id"]] += len(WORD.findall(r["text"]))
     assert words == taken

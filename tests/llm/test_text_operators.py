@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from framelake.llm import components, decontam, mixing, pii, quality, secrets, sharding, simhash, token_counts, token_files
+from framelake.llm import components, decontam, mixing, near_text, pii, quality, secrets, sharding, simhash, token_counts, token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, fp long, kept boolean"
@@ -123,10 +123,10 @@ def test_all_links_are_found_when_little_is_held(spark, monkeypatch):
 
 
 def test_keep_one(docs, empty):
-    kept = simhash.keep_one(docs)
+    kept = near_text.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 3, 6, 7, 8, 9, 10]
-    assert simhash.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
+    assert near_text.keep_one(empty).count() == 0 and simhash.near_duplicates(empty).count() == 0
 
 
 def test_keep_one_with_shared_and_null_ids(spark, empty):
@@ -134,7 +134,7 @@ def test_keep_one_with_shared_and_null_ids(spark, empty):
     a, b, c, d, e, f = (" ".join(f"{x}{i * i}" for i in range(40)) for x in ("apple", "berry", "cedar", "delta", "elder", "fig"))
     rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (3, e), (None, e), (0, f), (3, f)]
     some = spark.createDataFrame([(i, t, "en", "s", 1, 2, 3, True) for i, t in rows], empty.schema).repartition(3)
-    got = simhash.keep_one(some).collect()
+    got = near_text.keep_one(some).collect()
     assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted([("None", a), ("None", b), ("1", c), ("1", d), ("3", e), ("0", f)])
 
 
@@ -371,7 +371,7 @@ def test_stages_with_columns_of_the_operators_own_names(spark):
     items = spark.createDataFrame([(0, " ".join(f"bench{i}" for i in range(20)))], "item_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
     own = list(range(len(names)))
-    for out in (simhash.keep_one(docs), decontam.without_leaks(docs, items), mixing.mix(docs, 16, 4), quality.judge(docs, quality.fit(docs, labels), keep_columns=None, only_kept=True), sharding.assign_shards(docs)):
+    for out in (near_text.keep_one(docs), decontam.without_leaks(docs, items), mixing.mix(docs, 16, 4), quality.judge(docs, quality.fit(docs, labels), keep_columns=None, only_kept=True), sharding.assign_shards(docs)):
         got = out.collect()
         assert out.columns[: len(docs.columns)] == docs.columns and got
         assert all([r[n] for n in names] == own for r in got)
