@@ -124,21 +124,22 @@ def _key(block: Column) -> Column:
 def _numbered(rows: DataFrame, keep: bool = False) -> DataFrame:
     """rows (with doc_id, tag, source) and `nth`: 0, 1, ... among the rows with the same three, in any order.
 
-    Copies are numbered within their part of the input, and the parts' counts give each part its first number.
+    Copies are written with the part of the input they are in, so that all that reads the part sees the same one. They
+    are numbered within it, and the parts' counts give each part its first number.
     keep: write the result, if there are copies at all.
     """
     by = ["doc_id", "tag", "source"]
     same = lambda a, b: F.expr(" AND ".join(f"{a}.{c} <=> {b}.{c}" for c in by))
-    placed = rows.withColumn("part", F.spark_partition_id())
-    counts = written(placed.groupBy(*by, "part").agg(F.count("*").alias("n")), "mix-counts")
-    several = written(counts.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1").select(*by), "mix-copies")
+    several = written(rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").select(*by), "mix-copies")
     if several.isEmpty():
         return rows.withColumn("nth", F.lit(0).cast("long"))
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.alias("c").join(several.alias("s"), same("c", "s"), "left_semi").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    own = placed.alias("r").join(several.alias("s"), same("r", "s"), "left_semi").withColumn("own", F.row_number().over(Window.partitionBy(*by, "part").orderBy("tag")))
+    placed = written(rows.alias("r").join(several.alias("s"), same("r", "s"), "left_semi").withColumn("part", F.spark_partition_id()), "mix-placed")
+    counts = placed.groupBy(*by, "part").agg(F.count("*").alias("n"))
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    own = placed.withColumn("own", F.row_number().over(Window.partitionBy(*by, "part").orderBy("tag")))
     copies = own.alias("o").join(first.alias("f"), same("o", "f") & F.expr("o.part = f.part")).select(*[F.col(f"o.{c}").alias(c) for c in rows.columns], (F.col("first") + F.col("own") - 1).cast("long").alias("nth"))
-    alone = placed.alias("r").join(several.alias("s"), same("r", "s"), "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth"))
+    alone = rows.alias("r").join(several.alias("s"), same("r", "s"), "left_anti").select(*rows.columns, F.lit(0).cast("long").alias("nth"))
     every = alone.unionByName(copies)
     return written(every, "mix-numbered") if keep else every
 
