@@ -1,24 +1,34 @@
-"""Near-dedup of texts by wide SimHash fingerprints: five words, a similarity of 0.8 or more.
+"""Near-dedup of texts by wide SimHash fingerprints and exact verification: five words, a similarity of 0.8 or more.
+
+Two texts are linked if the sets of their 5-word shingles have a similarity (Jaccard) of 0.8; groups are what links join.
 
 A radius of 3 in 64 bits finds hardly anything at a similarity of 0.8, where about 15 % of the bits differ. So a text has
-a fingerprint of 1,024 bits here: bit k is set if over half of its 5-word shingles' hashes have it. Of two texts with a
-similarity (Jaccard) of 0.8, hence a cosine of 2 * 0.8 / 1.8, it differs in about 1024 * acos(0.889) / pi = 155 bits,
-give or take 12; unrelated texts differ in 512, give or take 16.
+a fingerprint of 1,024 bits here: bit k is set if over half of its different shingles' hashes have it. Of two texts with a
+similarity of 0.8, hence a cosine of 2 * 0.8 / 1.8, it differs in about 1024 * acos(0.889) / pi = 155 bits, give or
+take 12; unrelated texts differ in 512, give or take 16.
 
 Candidates come from deletion variants of the first 256 bits, cut into 16 segments of 16 bits. Texts that differ there
 in at most 31 bits have a segment that differs in at most one bit; at 39 bits, the mean at 0.8, they have one with a
 probability of over 0.99. A segment is dealt with one of its four nibbles as a wildcard, which covers the variants of that
 nibble's four bits at once, so a text is dealt 64 times. Within a variant, those up to 51 bits apart (two spreads above the
-mean) are candidates, and of these the nearest that join two parts are reported, never all pairs. Candidates of 132
-differing bits or fewer in all 1,024 (two spreads below the mean) are links; from there to 190 (three above), the nearest
-of each two groups that the links make is verified by the exact similarity of the shingle sets.
+mean) are candidates, and of these the nearest that join two parts are reported, never all pairs. Candidates of 190
+differing bits or fewer in all 1,024 (three spreads above the mean) are verified by the exact similarity.
+
+This groups most near copies but not all: of pairs at 0.8 some are further apart, and a candidate may have been left out
+for others that were refused. So the links between the groups that are left are found exactly. All shingles have one
+order, the rarest first. Sets of n and m shingles with a similarity of 0.8 share 4 / 9 * (n + m) or more, so each of them
+has this many from the first shared shingle on, which is among the first n - ceil(0.8 * n) + 1. Each set is dealt by these,
+and of those that meet at a shingle, all pairs of different groups with enough shingles from there on are verified. At a
+shingle that many sets share, pairs whose parity bits tell that they differ in too many shingles are left out before.
 
 A variant over MOST_DIRECT fingerprints is split in its task by the variants of the other segments. One over MOST_HELD
-is kept in a scratch file of the task, and its parts are compared two by two.
+is kept in a scratch file of the task, and its parts are compared two by two. A shingle's rows beyond MOST_HELD lie in a
+scratch file too.
 """
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import tempfile
 
@@ -38,7 +48,7 @@ WORDS = 4
 ALL_WORDS = 16
 SEGMENTS = 16
 SIMILARITY = 0.8
-#: Differing bits, at most: of candidates among the dealt bits; among all bits, of sure links and of pairs worth verifying.
+#: Differing bits, at most: of candidates among the dealt bits; among all bits, of nearly sure links (verified as well) and of pairs worth verifying.
 DISTANCE = 51
 SURE = 132
 UNSURE = 190
@@ -49,6 +59,12 @@ MOST_HELD = 1 << 20
 #: Rows of whole variants that are compared in one run, and candidates that wait to be joined.
 RUN = 1 << 15
 WAITING = 1 << 19
+#: Sets from which frequent shingles are read, and frequent shingles, about; they order the shingles, any order is exact.
+SAMPLE = 1 << 13
+FREQUENT = 1 << 16
+#: Rows of one shingle that are compared by offsets, without parity bits; and else rows of a block.
+MOST_OFFSETS = 64
+BLOCK = 1 << 9
 
 
 def _words(h: np.ndarray) -> np.ndarray:
@@ -70,9 +86,17 @@ def shingle_hashes(text: str | None) -> np.ndarray:
     return np.array([hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], last, strict=False)], np.uint64)
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different hashes, sorted."""
+    return np.unique(shingle_hashes(text)).astype("<u8")
+
+
 def wide_fingerprint(text: str | None) -> bytes:
     """128 bytes of one text; without words all zero."""
-    h = shingle_hashes(text)
+    return _fingerprint(shingle_set(text))
+
+
+def _fingerprint(h: np.ndarray) -> bytes:
     ones = np.zeros(64 * ALL_WORDS, np.int64)
     for at in range(0, len(h), 255):  # as many as a byte can count
         bits = np.unpackbits(_words(h[at : at + 255]).astype("<u8").view(np.uint8), axis=1, bitorder="little")
@@ -220,7 +244,7 @@ def _linked(batches):
 
 
 def _measured(batches):
-    """Candidates with the two sides' other bits to a, b, d: the differing bits of all."""
+    """Candidates (sets a, b) with the two sides' other bits to a, b, d: the differing bits of all."""
     for batch in batches:
         rest = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("rest_a", "rest_b")]
         d = np.bitwise_count(rest[0] ^ rest[1]).sum(axis=1, dtype=np.int32) + batch.column("d").to_numpy()
@@ -228,10 +252,10 @@ def _measured(batches):
 
 
 def _shingled(batches):
-    """fp, text to fp, shingles: the set of hashes, sorted, as bytes."""
+    """s, text to s, shingles: the set of hashes, sorted, as bytes."""
     for batch in batches:
-        sets = [np.unique(shingle_hashes(t)).astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], ["fp", "shingles"])
+        sets = [shingle_set(t).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(sets, pa.binary())], ["s", "shingles"])
 
 
 def _verified(batches):
@@ -245,54 +269,256 @@ def _verified(batches):
         yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
 
-def links(prints: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links a, b between the fingerprints of a written table: fp (dealt bits), rest (other bits), x (id, tag of one row)."""
-    dealt = prints.select("fp").mapInArrow(_deal, "variant int, fp binary")
+def _side(df: DataFrame, key: str, end: str, **columns: str) -> DataFrame:
+    return df.select(F.col(key).alias(end), *[F.col(c).alias(name) for name, c in columns.items()])
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (one row a set: s, id, tag, perhaps more) with its text, once; rows alike in id and text are one."""
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    found = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["own"] == wanted["tag"]))
+    # the null-safe join's own keys, so that the texts are shuffled once for both
+    same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "own").orderBy("own")
+    return found.withColumn("nth", F.row_number().over(same)).where("nth = 1").select(*[c for c in wanted.columns if c not in ("id", "tag")], "text")
+
+
+def _possible(batches):
+    """a, b with both sides' shingles and parity bits to the a, b that do not differ in too many bits for the similarity."""
+    for batch in batches:
+        odd = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(batch.num_rows, -1) for c in ("odd_a", "odd_b")]
+        n = batch.column("n_a").to_numpy().astype(np.int64) + batch.column("n_b").to_numpy()
+        near = 9 * np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64) <= n
+        yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+
+def verified(pairs: DataFrame, prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of a written table of pairs of sets (a, b) that have the similarity; sets are fetched only where the parity bits allow it."""
+    pairs = pairs.join(_side(prints, "s", "a", n_a="n", odd_a="odd"), "a").join(_side(prints, "s", "b", n_b="n", odd_b="odd"), "b")
+    pairs = written(pairs.select("a", "b", "n_a", "n_b", "odd_a", "odd_b").mapInArrow(_possible, "a long, b long"), "possible")
+    ends = pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct()
+    wanted = prints.join(ends, "s", "left_semi").select("s", F.col("x.id").alias("id"), F.col("x.tag").alias("tag"))
+    sets = written(_texts(docs, wanted).mapInArrow(_shingled, "s long, shingles binary"), "shingles")
+    exact = pairs.join(_side(sets, "s", "a", set_a="shingles"), "a").join(_side(sets, "s", "b", set_b="shingles"), "b")
+    return written(exact.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a long, b long"), "verified")
+
+
+def candidates(prints: DataFrame) -> DataFrame:
+    """Pairs of sets a, b whose fingerprints are near, of a written table: s, fp (dealt bits), rest (other bits)."""
+    first = written(prints.groupBy("fp").agg(F.min(F.struct("s", "rest")).alias("t")).select("fp", "t.s", "t.rest"), "first")
+    dealt = first.select("fp").mapInArrow(_deal, "variant int, fp binary")
     found = dealt.repartition("variant").sortWithinPartitions("variant").mapInArrow(_linked, "a binary, b binary, d int")
     found = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d"))
-    side = lambda df, end, col, name: df.select(F.col("fp").alias(end), F.col(col).alias(name))
-    pairs = found.join(side(prints, "a", "rest", "rest_a"), "a").join(side(prints, "b", "rest", "rest_b"), "b")
-    pairs = written(pairs.select("a", "b", "d", "rest_a", "rest_b").mapInArrow(_measured, "a binary, b binary, d int").where(F.col("d") <= UNSURE), "candidates")
-    sure = components(pairs.where(F.col("d") <= SURE).select("a", "b"))
-    unsure = pairs.where(F.col("d") > SURE)
-    for end in ("a", "b"):
-        unsure = unsure.join(sure.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    groups = [F.least("root_a", "root_b").alias("p"), F.greatest("root_a", "root_b").alias("q")]
-    nearest = unsure.where("root_a <> root_b").groupBy(*groups).agg(F.min(F.struct("d", "a", "b")).alias("x"))
-    nearest = written(nearest.select("x.a", "x.b"), "unsure")
-    ends = nearest.select(F.col("a").alias("fp")).union(nearest.select("b")).distinct()
-    wanted = prints.join(ends, "fp", "left_semi").select("fp", F.col("x.id").alias("id"), F.col("x.tag").alias("t"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tag"))
-    texts = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["tag"] == wanted["t"])).select("fp", "text")
-    sets = written(texts.mapInArrow(_shingled, "fp binary, shingles binary").groupBy("fp").agg(F.min("shingles").alias("shingles")), "shingles")
-    exact = nearest.join(side(sets, "a", "shingles", "set_a"), "a").join(side(sets, "b", "shingles", "set_b"), "b")
-    exact = exact.select("a", "b", "set_a", "set_b").mapInArrow(_verified, "a binary, b binary")
-    return written(sure.select(F.col("node").alias("a"), F.col("root").alias("b")).union(exact), "links")
+    pairs = found.join(_side(first, "fp", "a", s_a="s", rest_a="rest"), "a").join(_side(first, "fp", "b", s_b="s", rest_b="rest"), "b")
+    pairs = pairs.select(F.col("s_a").alias("a"), F.col("s_b").alias("b"), "d", "rest_a", "rest_b")
+    near = pairs.mapInArrow(_measured, "a long, b long, d int").where(F.col("d") <= UNSURE).select("a", "b")
+    alike = prints.select("fp", F.col("s").alias("a")).join(_side(first, "fp", "fp", b="s"), "fp").where("a <> b").select("a", "b")
+    return written(near.union(alike), "candidates")
+
+
+def frequent_shingles(prints: DataFrame, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most frequent shingles of a sample of the sets, drawn by their hash."""
+    every = max(1, prints.count() // SAMPLE)
+    drawn = prints.where(F.pmod(F.xxhash64("s"), F.lit(every)) == 0).select("s", F.col("x.id").alias("id"), F.col("x.tag").alias("tag"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
+    drawn = F.broadcast(drawn)
+    texts = rows.join(drawn, rows["doc_id"].eqNullSafe(drawn["id"]) & (rows["own"] == drawn["tag"])).select("s", "text").dropDuplicates(["s"])
+
+    def apply(batches):
+        for batch in batches:
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            h, n = np.unique(np.concatenate([*sets, np.empty(0, "<u8")]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(n)], ["h", "n"])
+
+    counts = texts.mapInArrow(apply, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    most = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    h, n = np.array([r["h"] for r in most], np.int64).view(np.uint64), np.array([r["n"] for r in most], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray]):
+    """(set's place, shingle, shingles of the set, those from this one on) for the first n - ceil(0.8 * n) + 1 of each set."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, row = np.concatenate([*sets, np.empty(0, "<u8")]), np.repeat(np.arange(len(sets)), size)
+    count, (known, times) = np.zeros(len(flat), np.int64), frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        count = np.where(known[at] == flat, times[at], 0)
+    order = np.lexsort((flat, count, row))
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+    n = size[row]
+    kept = left >= (4 * n + 4) // 5
+    return row[kept], flat[order][kept], n[kept], left[kept]
+
+
+def odd_bits(h: np.ndarray) -> bytes:
+    """128 bytes of a set of hashes: the parity of how many fall on each bit. Sets differ in as many hashes as bits, or more."""
+    return np.packbits(np.bincount((h & np.uint64(1023)).astype(np.int64), minlength=1024) & 1, bitorder="little").tobytes()
+
+
+def _runs(batches, columns, odd=False):
+    """Arrow batches sorted by token to (token, rows) of whole tokens; one with over MOST_HELD rows comes from a scratch file."""
+    tokens, held, size, scratch = [], [], 0, None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            tokens.append(batch.column("token").to_numpy())
+            now = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in columns], axis=1)
+            if odd:
+                now = np.concatenate((now, np.frombuffer(b"".join(batch.column("odd").to_pylist()), "<i8").reshape(len(now), -1)), axis=1)
+            held.append(now)
+            size += batch.num_rows
+            if size < RUN:
+                continue
+        if not held:
+            continue
+        token, rows = np.concatenate(tokens), np.concatenate(held)
+        if scratch is not None and (batch is None or token[-1] != scratch[0]):  # the rest of a token in the file ends here
+            end = int(np.searchsorted(token, scratch[0], "right"))
+            rows[:end].tofile(scratch[1])
+            scratch[1].flush()
+            long = np.memmap(scratch[1], np.int64, "r").reshape(-1, rows.shape[1])
+            yield np.broadcast_to(scratch[0], len(long)), long
+            token, rows, scratch = token[end:], rows[end:], None
+        whole = len(token) if batch is None or not len(token) else int(np.searchsorted(token, token[-1]))
+        if whole:
+            yield token[:whole], rows[:whole]
+        token, rows = token[whole:], rows[whole:]
+        if len(token) >= MOST_HELD:
+            scratch = scratch or (token[0], tempfile.TemporaryFile())
+            rows.tofile(scratch[1])
+            token, rows = token[:0], rows[:0]
+        tokens, held, size = [token], [rows], len(token)
+
+
+def _cut(token: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]))
+
+
+def _good(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets (s, root, n, left) are of different groups and have enough shingles left."""
+    return (rows[a, 1] != rows[b, 1]) & (9 * np.minimum(rows[a, 3], rows[b, 3]) >= 4 * (rows[a, 2] + rows[b, 2]))
+
+
+def _batches(token, a, b, n, left):
+    for i in range(0, len(a), RUN):
+        part = [c[i : i + RUN] for c in (a, b, n, left)]
+        name = pa.nulls(len(part[0]), pa.int64()) if token is None else pa.array(token[i : i + RUN])
+        yield pa.RecordBatch.from_arrays([name, *[pa.array(c.astype(k)) for c, k in zip(part, (np.int64, np.int64, np.int32, np.int32), strict=True)]], ["token", "a", "b", "n", "left"])
+
+
+def _met(batches):
+    """Arrow batches sorted by token to pairs of sets a, b to verify (no token), and to the rows of tokens that many sets share.
+
+    Those of a token whose rows are all of one group are left out.
+    """
+    for token, rows in _runs(batches, ("s", "root", "n", "left")):
+        cut = _cut(token)
+        mixed = np.minimum.reduceat(rows[:, 1], cut[:-1]) != np.maximum.reduceat(rows[:, 1], cut[:-1])
+        large = np.repeat(mixed & (np.diff(cut) > MOST_OFFSETS), np.diff(cut))
+        at, k = np.flatnonzero(np.repeat(mixed, np.diff(cut)) & ~large), 0
+        while len(at):
+            k += 1
+            at = at[at + k < len(token)]
+            at = at[token[at] == token[at + k]]
+            found = at[_good(rows, at, at + k)]
+            x, y = rows[found, 0], rows[found + k, 0]
+            yield from _batches(None, np.minimum(x, y), np.maximum(x, y), x * 0, x * 0)
+        at = np.flatnonzero(large)
+        for i in range(0, len(at), RUN):
+            here = at[i : i + RUN]
+            yield from _batches(token[here], *rows[here].T)
+
+
+def _met_by_many(batches):
+    """Rows of tokens that many sets share, with their parity bits, to pairs of sets a, b to verify."""
+    for token, rows in _runs(batches, ("a", "b", "n", "left"), odd=True):
+        cut = _cut(token)
+        for g in range(len(cut) - 1):
+            own = np.arange(cut[g], cut[g + 1])
+            names, n = np.unique(rows[own, 1], return_counts=True)
+            other = rows[own, 1] != names[n.argmax()]  # two of the largest group are never compared
+            order, others = np.concatenate((own[other], own[~other])), own[other]
+            for i in range(0, len(others), BLOCK):
+                for j in range(i, len(order), BLOCK):
+                    x, y = others[i : i + BLOCK], order[j : j + BLOCK]
+                    p, q = np.nonzero(_good(rows, x[:, None], y[None, :]))
+                    x, y = rows[x[p]], rows[y[q]]
+                    # two sets with the similarity differ in (n + m) / 9 shingles at most
+                    differ = (x[:, 4:] ^ y[:, 4:]).view(np.uint64)  # of signed numbers the absolute value's bits would be counted
+                    near = 9 * np.bitwise_count(differ).sum(axis=1, dtype=np.int64) <= x[:, 2] + y[:, 2]
+                    x, y = x[near, 0], y[near, 0]
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def between(prints: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of sets a, b of different groups (node, root) that may have the similarity: none that has it is left out."""
+    frequent = frequent_shingles(prints, docs)
+
+    def apply(batches):
+        for batch in batches:
+            place, token, n, left = prefixes([shingle_set(t) for t in batch.column("text").to_pylist()], frequent)
+            s, root = (batch.column(c).to_numpy()[place] for c in ("s", "root"))
+            columns = [token.view("<i8"), s, root, n.astype(np.int32), left.astype(np.int32)]
+            for i in range(0, len(token), RUN):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + RUN]) for c in columns], ["token", "s", "root", "n", "left"])
+
+    rooted = prints.join(_side(roots, "node", "s", root="root"), "s", "left")
+    rooted = rooted.select("s", F.coalesce("root", "s").alias("root"), F.col("x.id").alias("id"), F.col("x.tag").alias("tag"))
+    dealt = _texts(docs, rooted).mapInArrow(apply, "token long, s long, root long, n int, left int")
+    met = dealt.repartition("token").sortWithinPartitions("token").mapInArrow(_met, "token long, a long, b long, n int, left int")
+    met = written(met, "met")
+    shared = met.where("token IS NOT NULL").join(_side(prints, "s", "a", odd="odd"), "a")
+    shared = shared.repartition("token").sortWithinPartitions("token").mapInArrow(_met_by_many, "a long, b long")
+    return written(met.where("token IS NULL").select("a", "b").union(shared).distinct(), "between")
+
+
+def groups(prints: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, root: the sets that links join, of a written table of sets: s, x (id, tag of one row), fp, rest, n (shingles), odd (parity bits)."""
+    near = components(verified(candidates(prints), prints, docs))
+    more = verified(between(prints, near, docs), prints, docs)
+    return components(_side(near, "node", "a", b="root").union(more))
+
+
+@contextlib.contextmanager
+def _shuffles_go(spark):
+    """Shuffle files go when the step that made them is written, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id (null last), then of the smallest text hash.
 
     Groups are what links join. Null and word-less texts are one group; of rows alike in id and text one stays; different
-    texts with a null or the same id are told apart; no rows give none; other columns stay, whatever their names.
+    texts with a null or the same id are told apart; no rows give none; other columns stay, whatever their names. A set of
+    shingles is known by a hash of 64 bits.
     """
     bounded_batches(docs.sparkSession)
 
     def apply(batches):
         for batch in batches:
-            fps = [wide_fingerprint(t) for t in batch.column("text").to_pylist()]
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            names = np.array([xxhash.xxh3_64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+            fps = [_fingerprint(x) for x in sets]
             split = [pa.array([f[: 8 * WORDS] for f in fps], pa.binary()), pa.array([f[8 * WORDS :] for f in fps], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), *split], ["doc_id", "tag", "fp", "rest"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tag"), pa.array(names), *split, pa.array([len(x) for x in sets], pa.int32()), pa.array([odd_bits(x) for x in sets], pa.binary())], ["doc_id", "tag", "s", "fp", "rest", "n", "odd"])
 
     tag = F.xxhash64("text").alias("tag")
     tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", tag)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", "text", tag).mapInArrow(apply, f"doc_id {kind}, tag long, fp binary, rest binary")
+    marked = docs.select("doc_id", "text", tag).mapInArrow(apply, f"doc_id {kind}, tag long, s long, fp binary, rest binary, n int, odd binary")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"), F.col("tag").alias("tag"))).alias("x")
-    one = written(marked.groupBy("fp").agg(first, F.min("rest").alias("rest")), "fps")
-    roots = components(links(one, docs))
-    rooted = one.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    chosen = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("x").alias("x")).select("x.id", F.col("x.tag").alias("t"))
+    with _shuffles_go(docs.sparkSession):
+        one = written(marked.groupBy("s").agg(first, *[F.min(c).alias(c) for c in ("fp", "rest", "n", "odd")]), "sets")
+        roots = groups(one, docs)
+    rooted = one.join(_side(roots, "node", "s", root="root"), "s", "left")
+    chosen = rooted.groupBy(F.coalesce("root", "s").alias("root")).agg(F.min("x").alias("x")).select("x.id", F.col("x.tag").alias("t"))
     kept = tagged.join(chosen, tagged["doc_id"].eqNullSafe(chosen["id"]) & (tagged["tag"] == chosen["t"]), "left_semi")
     # rows alike in id and text are one; the null-safe join's own keys, so that the texts are shuffled once for both
     same = Window.partitionBy(F.coalesce("doc_id", F.lit(0)), F.isnull("doc_id"), "tag").orderBy("tag")

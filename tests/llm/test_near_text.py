@@ -109,3 +109,54 @@ def test_variants_join_all_that_candidates_join(monkeypatch, limits):
     near = [(a.tobytes(), b.tobytes()) for a, b in itertools.combinations(fps, 2) if np.bitwise_count(a ^ b).sum() <= near_text.DISTANCE]
     assert all(np.bitwise_count(np.frombuffer(a, "<u8") ^ np.frombuffer(b, "<u8")).sum() <= near_text.DISTANCE for a, b in found)
     assert parts(found) == parts(near)
+
+
+def test_no_link_is_left_out(spark):
+    """Pairs and families around a similarity of 0.8, and texts that differ in how often they repeat a line, as by all pairs."""
+    rng = random.Random(5)
+    rows = []
+    for at in range(0, 1500, 10):
+        rows += family(rng, at, 2, 400, 4)  # about 0.82
+    for at in range(1500, 3000, 10):
+        rows += family(rng, at, 6, 410 + at // 10 % 7, 5)  # about 0.78 to 0.81
+    passage, line = " ".join(f"p{i}" for i in range(200)), " same old line of words here"
+    rows += [(3000, passage + line), (3001, passage + line * 300)]
+    rows += [(4000 + i, " ".join(f"q{i // 2}_{j}" for j in range(13 + i % 2))) for i in range(40)]  # 9 of 10 short shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in near_text.keep_one(docs).collect()) == survivors(rows)
+
+
+@pytest.mark.parametrize("limits", [{}, {"MOST_OFFSETS": 2, "BLOCK": 3}, {"MOST_OFFSETS": 2, "BLOCK": 3, "MOST_HELD": 8, "RUN": 4}])
+@pytest.mark.parametrize("grouped", [False, True])
+def test_sets_that_meet_hold_all_links(monkeypatch, limits, grouped):
+    """Every link between groups is among the pairs, whatever the order of shingles and however many share one."""
+    import pyarrow as pa
+
+    for name, value in limits.items():
+        monkeypatch.setattr(near_text, name, value)
+    rng = np.random.default_rng(2)
+    sets = []
+    for n in (1, 2, 4, 5, 9, 20, 45, 90):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for _ in range(25):
+            new = rng.integers(0, 1 << 63, rng.integers(0, n // 5 + 2), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate((rng.permutation(base)[rng.integers(0, n // 8 + 1) :], new))).astype("<u8"))
+    flat = np.unique(np.concatenate(sets))
+    known = np.sort(rng.choice(flat, 50, replace=False))
+    root = np.arange(len(sets)) // (4 if grouped else 1) * 4
+    place, token, n, left = near_text.prefixes(sets, (known, rng.integers(1, 9, len(known))))
+    names = ["token", "s", "root", "n", "left"]
+    dealt = pa.Table.from_arrays([pa.array(c) for c in (token.view("<i8"), place, root[place], n, left)], names).sort_by("token")
+    met = pa.Table.from_batches(near_text._met(iter(dealt.to_batches(max_chunksize=3)))).to_pylist()
+    found = {(r["a"], r["b"]) for r in met if r["token"] is None}
+    many = [r | {"odd": near_text.odd_bits(sets[r["a"]])} for r in sorted((r for r in met if r["token"] is not None), key=lambda r: r["token"])]
+    assert many or not limits
+    if many:
+        for batch in near_text._met_by_many(iter(pa.Table.from_pylist(many).to_batches(max_chunksize=3))):
+            found |= set(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True))
+    links = set()
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if root[a] != root[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+            links.add((a, b))
+    assert len(links) > 200 and links <= found and all(root[a] != root[b] for a, b in found)
