@@ -16,7 +16,8 @@ differing bits or fewer in all 1,024 (three spreads above the mean) are verified
 
 This groups most near copies but not all: of pairs at 0.8 some are further apart, and a candidate may have been left out
 for others that were refused. So the links between the groups that are left are found exactly. All shingles have one
-order, the rarest first. Sets of n and m shingles with a similarity of 0.8 share 4 / 9 * (n + m) or more, so each of them
+order, the rarest first, as counted over all sets (a sample of fixed size tells ever fewer apart as the input grows, and
+pairs then grow with its square). Sets of n and m shingles with a similarity of 0.8 share 4 / 9 * (n + m) or more, so each of them
 has this many from the first shared shingle on, which is among the first n - ceil(0.8 * n) + 1. Each set is dealt by these,
 and of those that meet at a shingle, all pairs of different groups with enough shingles from there on are verified. At a
 shingle that many sets share, pairs whose parity bits tell that they differ in too many shingles are left out before.
@@ -59,9 +60,10 @@ MOST_HELD = 1 << 20
 #: Rows of whole variants that are compared in one run, and candidates that wait to be joined.
 RUN = 1 << 15
 WAITING = 1 << 19
-#: Sets from which frequent shingles are read, and frequent shingles, about; they order the shingles, any order is exact.
-SAMPLE = 1 << 13
-FREQUENT = 1 << 16
+#: Bits of a hash by which shingles are dealt to be counted, and bits of its place in the table of levels, at most (16 at
+#: least). The levels order the shingles; any order is exact.
+BUCKET_BITS = 10
+LEVEL_BITS = 25
 #: Rows of one shingle that are compared by offsets, without parity bits; and else rows of a block.
 MOST_OFFSETS = 64
 BLOCK = 1 << 9
@@ -315,25 +317,71 @@ def candidates(prints: DataFrame) -> DataFrame:
     return written(near.union(alike), "candidates")
 
 
-def frequent_shingles(prints: DataFrame, docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and counts of the most frequent shingles of a sample of the sets, drawn by their hash."""
-    every = max(1, prints.count() // SAMPLE)
-    drawn = prints.where(F.pmod(F.xxhash64("s"), F.lit(every)) == 0).select("s", F.col("x.id").alias("id"), F.col("x.tag").alias("tag"))
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
-    drawn = F.broadcast(drawn)
-    texts = rows.join(drawn, rows["doc_id"].eqNullSafe(drawn["id"]) & (rows["own"] == drawn["tag"])).select("s", "text").dropDuplicates(["s"])
+def _dealt_shingles(batches):
+    """Texts to (bucket, hashes): of the shingles that start with a bucket's BUCKET_BITS bits, the next 32 bits each."""
+    for batch in batches:
+        h = np.sort(np.concatenate([*(shingle_set(t) for t in batch.column("text").to_pylist()), np.empty(0, "<u8")]))
+        ends = np.searchsorted(h >> np.uint64(64 - BUCKET_BITS), np.arange((1 << BUCKET_BITS) + 1))
+        there = np.flatnonzero(np.diff(ends)).astype(np.int32)
+        starts = pa.py_buffer((4 * np.append(ends[there], len(h))).astype(np.int32))
+        data = pa.py_buffer((h >> np.uint64(32 - BUCKET_BITS)).astype("<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.Array.from_buffers(pa.binary(), len(there), [None, starts, data])], ["bucket", "hashes"])
 
-    def apply(batches):
-        for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
-            h, n = np.unique(np.concatenate([*sets, np.empty(0, "<u8")]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view("<i8")), pa.array(n)], ["h", "n"])
 
-    counts = texts.mapInArrow(apply, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    most = counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    h, n = np.array([r["h"] for r in most], np.int64).view(np.uint64), np.array([r["n"] for r in most], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
+def _levels(batches, bits: int):
+    """Rows sorted by bucket to one row each: the bucket's share of a table of 2^bits levels (a byte: 16 log2 of the sets).
+
+    A level is that of the most frequent shingle at its place, the first bits of its hash; 0 if none is in two sets.
+    """
+
+    def one(bucket, held):
+        h, n = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+        h, n = h[n > 1], n[n > 1]
+        levels = np.zeros(1 << bits - BUCKET_BITS, np.uint8)
+        np.maximum.at(levels, h >> np.uint32(32 + BUCKET_BITS - bits), np.minimum(16 * np.log2(n), 255).astype(np.uint8))
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["bucket", "levels"])
+
+    now, held = None, []
+    for batch in batches:
+        for bucket, hashes in zip(batch.column("bucket").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            if bucket != now and held:
+                yield one(now, held)
+                held = []
+            now = bucket
+            held.append(hashes)
+    if held:
+        yield one(now, held)
+
+
+def shingle_levels(prints: DataFrame, docs: DataFrame) -> np.ndarray:
+    """How many sets have a shingle, counted over all sets, as levels by the first bits of its hash; 0 for those of one set.
+
+    Where over a quarter of the places would be taken, the lowest levels are 0 too.
+    """
+    bits = min(LEVEL_BITS, max(16, (prints.agg(F.sum("n")).first()[0] or 0).bit_length()))
+    wanted = prints.select("s", F.col("x.id").alias("id"), F.col("x.tag").alias("tag"))
+    dealt = _texts(docs, wanted).select("text").mapInArrow(_dealt_shingles, "bucket int, hashes binary")
+    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket")
+    rows = dealt.mapInArrow(lambda batches: _levels(batches, bits), "bucket int, levels binary").toArrow()
+    levels = np.zeros((1 << BUCKET_BITS, 1 << bits - BUCKET_BITS), np.uint8)
+    for bucket, own in zip(rows["bucket"].to_pylist(), rows["levels"], strict=True):
+        levels[bucket] = np.frombuffer(own.as_buffer(), np.uint8)
+    return lowest_off(levels.reshape(-1))
+
+
+def lowest_off(levels: np.ndarray) -> np.ndarray:
+    """levels with the lowest ones set to 0 until a quarter of the places is taken at most."""
+    above = np.cumsum(np.bincount(levels, minlength=256)[::-1])[::-1]  # places of a level or higher ones
+    least = 1 + int((above[1:] > len(levels) // 4).sum())
+    levels[levels < least] = 0
+    return levels
+
+
+def frequent_in(sets: list[np.ndarray], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes (sorted) in these sets that have a level, and their levels."""
+    flat, shift = np.concatenate([*sets, np.empty(0, "<u8")]), np.uint64(65 - len(levels).bit_length())
+    known = np.unique(flat[levels[flat >> shift] > 0])
+    return known, levels[known >> shift].astype(np.int64)
 
 
 def prefixes(sets: list[np.ndarray], frequent: tuple[np.ndarray, np.ndarray]):
@@ -453,11 +501,12 @@ def _met_by_many(batches):
 
 def between(prints: DataFrame, roots: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of sets a, b of different groups (node, root) that may have the similarity: none that has it is left out."""
-    frequent = frequent_shingles(prints, docs)
+    levels = shingle_levels(prints, docs)
 
     def apply(batches):
         for batch in batches:
-            place, token, n, left = prefixes([shingle_set(t) for t in batch.column("text").to_pylist()], frequent)
+            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            place, token, n, left = prefixes(sets, frequent_in(sets, levels))
             s, root = (batch.column(c).to_numpy()[place] for c in ("s", "root"))
             columns = [token.view("<i8"), s, root, n.astype(np.int32), left.astype(np.int32)]
             for i in range(0, len(token), RUN):

@@ -160,3 +160,50 @@ def test_sets_that_meet_hold_all_links(monkeypatch, limits, grouped):
         if root[a] != root[b] and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
             links.add((a, b))
     assert len(links) > 200 and links <= found and all(root[a] != root[b] for a, b in found)
+
+def test_levels_are_those_of_all_sets():
+    """Every shingle of two sets or more has its level, whatever the batches; one of a single set shares a place by chance only."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [t for at in range(0, 400, 10) for _, t in family(rng, at, 2 + at % 7, 60, 3)] + [None, ""]
+    bits = 20
+    dealt = [b for i in range(0, len(texts), 13) for b in near_text._dealt_shingles([pa.record_batch([pa.array(texts[i : i + 13], pa.string())], ["text"])])]
+    rows = pa.Table.from_batches(dealt).sort_by("bucket")
+    levels = np.zeros((1 << near_text.BUCKET_BITS, 1 << bits - near_text.BUCKET_BITS), np.uint8)
+    for batch in near_text._levels(iter(rows.to_batches(max_chunksize=7)), bits):
+        levels[batch.column("bucket")[0].as_py()] = np.frombuffer(batch.column("levels")[0].as_py(), np.uint8)
+    levels = levels.reshape(-1)
+    sets = [near_text.shingle_set(t) for t in texts]
+    h, n = np.unique(np.concatenate(sets), return_counts=True)
+    place = h >> np.uint64(64 - bits)
+    assert (levels[place] >= np.floor(np.where(n > 1, 16 * np.log2(n), 0))).all()
+    assert (levels > 0).sum() == len(np.unique(place[n > 1])) and 1000 < (n > 1).sum() < (n == 1).sum() * 10
+    known, times = near_text.frequent_in(sets, levels)
+    assert set(h[n > 1]) <= set(known) and (times > 0).all() and len(known) < 1.05 * (n > 1).sum()
+    full = near_text.lowest_off(np.repeat(np.arange(1, 9, dtype=np.uint8), 10))
+    assert (full > 0).sum() == 20 and set(full[full > 0]) == {7, 8}
+    assert not near_text.lowest_off(np.ones(64, np.uint8)).any()
+
+
+def test_pairs_do_not_grow_with_the_input(spark, monkeypatch):
+    """Families that are alike but not linked do not meet, however many sets there are: a sample of 8,192 no longer told them apart."""
+    rng, rows = random.Random(12), []
+    for at in range(0, 24_000, 6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        for i in range(6):
+            words = list(base)
+            for place in (rng.randrange(5, 15), rng.randrange(25, 35), rng.randrange(45, 55)):
+                words[place] = f"x{rng.randrange(10**9)}"  # 15 of 56 shingles are the text's own, 12 are dealt
+            rows.append((at + i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    made, write = {}, near_text.written
+
+    def counted(df, label):
+        table = write(df, label)
+        made[label] = table.count()
+        return table
+
+    monkeypatch.setattr(near_text, "written", counted)
+    near_text.keep_one(docs).count()
+    assert made["sets"] == len(rows) and made["met"] < len(rows) // 10
