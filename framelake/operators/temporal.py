@@ -88,11 +88,18 @@ def region_projection(movie: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def normalised_snippets(traces: DataFrame, window: int, stride: int, least: float = 1e-6) -> DataFrame:
-    """comp, start, snippet of traces (comp, trace) with some deviation, centred and scaled to length 1."""
-    stats = traces.select("comp", "trace", (F.aggregate("trace", F.lit(0.0), lambda s, v: s + v) / F.size("trace")).alias("mean"))
-    stats = stats.withColumn("square", F.aggregate("trace", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))))
-    some = stats.where(F.sqrt(F.col("square") / (F.size("trace") - 1)) > least)
-    last = F.greatest(F.size("trace") - window, F.lit(0))
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
-    scaled = some.withColumn("trace", F.transform("trace", lambda v: (v - F.col("mean")) / F.sqrt("square")))
-    return scaled.select("comp", "trace", F.explode(starts).alias("start")).select("comp", "start", F.expr(f"slice(trace, start + 1, {window})").alias("snippet"))
+    """comp, start, i, value: windows of traces (comp, frame, value) with some deviation, centred and scaled to length 1.
+
+    Frames count from 0, and the last window ends with the last frame of all traces. Moments are one aggregate and each row
+    finds its own windows, so no trace is held in one row. The join is null-safe and the windows are nulls where a row is
+    outside, as filters on comp or frame would go below the traces' own exchange in one branch and keep it from being reused.
+    """
+    stats = traces.groupBy("comp").agg(F.avg("value").alias("mean"), F.sqrt(F.var_pop("value") * F.count("value")).alias("norm"), F.stddev_samp("value").alias("std"), F.max("frame").alias("end"))
+    some = stats.agg(F.collect_list(F.struct("comp", "mean", "norm", "std")).alias("all"), F.greatest(F.max("end") + 1 - window, F.lit(0)).alias("last"))
+    some = some.select(F.inline("all"), "last").where(F.col("std") > least).withColumnRenamed("comp", "of")
+    rows = traces.join(F.broadcast(some), F.col("comp").eqNullSafe(F.col("of")))
+    regular = [(F.expr(f"frame div {stride}") - k) * stride for k in range(-(-window // stride))]
+    starts = [F.when(s.between(0, F.col("last")) & (F.col("frame") >= s) & (F.col("frame") < s + window), s) for s in [*regular, F.when(F.col("last") % stride != 0, F.col("last"))]]
+    rows = rows.withColumn("start", F.explode(F.array(*starts))).where("start IS NOT NULL")
+    value = (F.col("value") - F.col("mean")) / F.col("norm")
+    return rows.select("comp", F.col("start").cast("int").alias("start"), (F.col("frame") - F.col("start")).cast("int").alias("i"), value.alias("value"))

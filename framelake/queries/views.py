@@ -314,9 +314,7 @@ def sparse_identity(spark, d):
 
 @query(with_(f"{MAC}, n AS (SELECT comp, frame, value - avg(value) OVER (PARTITION BY comp) AS d FROM c), z AS (SELECT comp, frame, d / sqrt(sum(d * d) OVER (PARTITION BY comp)) AS v FROM n), l AS (SELECT greatest(max(frame) + 1 - 40, 0) AS last FROM c), st AS (SELECT CAST(unnest(list_distinct(list_append(range(0, last + 1, 20), last))) AS INTEGER) AS start FROM l)", f"SELECT comp, start, CAST(frame - start AS INTEGER) AS i, {r('v', 'value')} FROM z JOIN st ON frame >= start AND frame < start + 40"))
 def normalised_snippets(spark, d):
-    c = _Tables(spark, d).c
-    arrays = c.groupBy("comp").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "value"))), lambda s: s["value"]).alias("trace"))
-    return _six(temporal.normalised_snippets(arrays, 40, 20).select("comp", "start", F.posexplode("snippet").alias("i", "value")), "value")
+    return _six(temporal.normalised_snippets(_Tables(spark, d).c, 40, 20), "value")
 
 
 @query(with_(f"{MAC}", f"SELECT comp, {r('quantile_cont(value * value, 0.05)', 'noise')} FROM c GROUP BY 1"))
